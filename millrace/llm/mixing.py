@@ -65,8 +65,8 @@ def ranked_weights(sizes: DataFrame, cycle: int = 3) -> DataFrame:
 def mix(docs: DataFrame, max_epochs: float = 3.0, seed: int = 7, slice_rows: int = 20_000, size: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
     """``(doc_id, size, source_size, target, taken)`` for each row of ``docs``, and its ``carry`` columns.
 
-    ``taken`` counts words with repeats, at most ``max_epochs`` times ``size``, rounded up where the
-    target's own rounding falls on a document.  Reruns agree: the order is a seeded hash of id and text.
+    ``taken`` counts words with repeats, at most ``max_epochs`` times ``size``.  Reruns agree: the order is
+    a seeded hash of id and text.
 
     Null text counts as 0 words; a document without words takes 0.  A null source is a source of its own,
     last in order.  Null ids and repeated rows stay, one result a row; equal rows are interchangeable.
@@ -96,6 +96,19 @@ def mix(docs: DataFrame, max_epochs: float = 3.0, seed: int = 7, slice_rows: int
     return dealt.select("doc_id", "size", "source_size", "target", taken.alias("taken"), *[F.col(f"_{c}").alias(c) for c in carry])
 
 
+def repeated(docs: DataFrame, max_epochs: float = 3.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it is taken, with all its columns.
+
+    The one document of a source that is taken in part is repeated once more if half of it or more is.
+    A document without words is repeated as often as its source is in whole.
+    """
+    taken = mix(docs.withColumn("_row", F.struct(*docs.columns)), max_epochs, seed, id_col=id_col, text_col=text_col, source_col=source_col, carry=("_row",))
+    whole = F.when(F.col("source_size") > 0, F.floor(F.round("target").cast("long") / F.col("source_size")).cast("int")).otherwise(0)
+    part = F.col("taken") - whole * F.col("size")
+    times = whole + ((F.col("size") > 0) & (2 * part >= F.col("size"))).cast("int")
+    return taken.withColumn("_time", F.explode(F.array_repeat(F.lit(0), times))).select("_row.*")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents"))
 
