@@ -157,6 +157,12 @@ def surrogate(value: Column, kind: Column, key: str, attempt: Column) -> Column:
     return out
 
 
+def _aside(value: Column, kind: Column, key: str, attempt: Column) -> Column:
+    """``surrogate`` inside a lambda: its many branches would make a generated method that costs the
+    compiler gigabytes, and it runs on few rows."""
+    return F.transform(F.array(F.struct(value.alias("v"), kind.alias("k"), attempt.alias("a"))), lambda x: surrogate(x["v"], x["k"], key, x["a"]))[0]
+
+
 def found(text: Column) -> Column:
     """All entities of a text, in order."""
     return F.when(text.rlike(CHEAP), F.regexp_extract_all(text, F.lit(UNION), 0)).otherwise(F.array().cast("array<string>"))
@@ -170,7 +176,7 @@ def attempts(values: DataFrame, key: str) -> DataFrame:
     space far larger than the clashing values.
     """
     state = values.withColumn("kind", kind_of(F.col("value"))).where("kind IS NOT NULL").withColumn("attempt", F.lit(0))
-    state = materialize(state.withColumn("surrogate", surrogate(F.col("value"), F.col("kind"), key, F.col("attempt"))), "pii-values")
+    state = materialize(state.withColumn("surrogate", _aside(F.col("value"), F.col("kind"), key, F.col("attempt"))), "pii-values")
     real = state.select(F.col("value").alias("surrogate"), F.lit(True).alias("real"))
     for _ in range(MAX_ATTEMPTS):
         order = Window.partitionBy("surrogate").orderBy("attempt", "value")
@@ -180,7 +186,7 @@ def attempts(values: DataFrame, key: str) -> DataFrame:
         if checked.where("clash").isEmpty():
             return checked.where("attempt > 0").select("value", "kind", "attempt")
         state = checked.withColumn("attempt", F.col("attempt") + F.col("clash").cast("int"))
-        state = state.withColumn("surrogate", F.when(F.col("clash"), surrogate(F.col("value"), F.col("kind"), key, F.col("attempt"))).otherwise(F.col("surrogate"))).drop("clash")
+        state = state.withColumn("surrogate", F.when(F.col("clash"), _aside(F.col("value"), F.col("kind"), key, F.col("attempt"))).otherwise(F.col("surrogate"))).drop("clash")
         state = materialize(state, "pii-values")
     raise ValueError(f"surrogates still clash after {MAX_ATTEMPTS} attempts: a kind has more values than its format has surrogates")
 
