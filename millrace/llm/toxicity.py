@@ -101,6 +101,9 @@ class Ftrl:
         self.n[i] += g * g
 
 
+FEATURED = "id long, ord long, toxic int, indices binary"
+
+
 def _featurize(batches):
     for batch in batches:
         texts = batch.column("text").to_pylist()
@@ -110,23 +113,28 @@ def _featurize(batches):
             pairs = np.unique(doc << DIMS_LOG2 | index)
             cuts = np.searchsorted(pairs, np.arange(1, part.stop - part.start) << DIMS_LOG2)
             found += [(p & ((1 << DIMS_LOG2) - 1)).astype("<i4").tobytes() for p in np.split(pairs, cuts)]
-        yield arrow_batch("ord long, toxic int, indices binary", [batch.column("ord"), batch.column("toxic"), found])
+        yield arrow_batch(FEATURED, [batch.column("id"), batch.column("ord"), batch.column("toxic"), found])
 
 
 def _learn(epochs: int, parameters: dict):
-    def run(part):
-        import pandas as pd
+    def run(table):
+        import pyarrow as pa
 
-        part = part.sort_values(["ord", "indices"])
+        order = np.lexsort((table.column("id").to_numpy(), table.column("ord").to_numpy()))
+        toxic = table.column("toxic").to_numpy()
+        indices = table.column("indices").combine_chunks()
+        if isinstance(indices, pa.ChunkedArray):
+            indices = pa.concat_arrays(indices.chunks)
+        begin = np.frombuffer(indices.buffers()[1], np.int32)[indices.offset : indices.offset + len(indices) + 1] // 4
+        flat = np.frombuffer(indices.buffers()[2] or b"", np.int32)  # no copy: the sample's features are in memory once
+        bias = np.array([1 << DIMS_LOG2], np.int32)
         model = Ftrl((1 << DIMS_LOG2) + 1, **parameters)
-        bias = np.array([1 << DIMS_LOG2])
-        rows = [(np.r_[np.frombuffer(x, "<i4"), bias], float(y)) for x, y in zip(part["indices"], part["toxic"], strict=True)]
         for _ in range(epochs):
-            for i, y in rows:
-                model.learn(i, y)
+            for k in order:
+                model.learn(np.concatenate([flat[begin[k] : begin[k + 1]], bias]), float(toxic[k]))
         w = model.weights(slice(None))
         at = np.flatnonzero(w)
-        return pd.DataFrame({"index": at, "weight": w[at]})
+        return pa.table({"index": pa.array(at, pa.int64()), "weight": pa.array(w[at], pa.float64())})
 
     return run
 
@@ -143,8 +151,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS,
     chosen = one.select("id", "toxic", F.xxhash64("id").alias("ord")).orderBy("ord", "id").limit(max_rows)
     chosen = F.broadcast(materialize(chosen, "training-ids"))  # max_rows rows of three numbers
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL").join(chosen, "id").dropDuplicates(["id"])
-    rows = sample.select("ord", "toxic", "text").mapInArrow(_featurize, "ord long, toxic int, indices binary")
-    found = rows.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(_learn(epochs, parameters), "index long, weight double").collect()  # L1 leaves few
+    rows = sample.select("id", "ord", "toxic", "text").mapInArrow(_featurize, FEATURED)
+    found = rows.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(_learn(epochs, parameters), "index long, weight double").collect()  # L1 leaves few
     return np.array([r["index"] for r in found], np.int64), np.array([r["weight"] for r in found])
 
 
