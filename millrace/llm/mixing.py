@@ -62,7 +62,7 @@ def ranked_weights(sizes: DataFrame, cycle: int = 3) -> DataFrame:
     return ranked.withColumn("weight", ((F.col("before") + F.col("rank") - 1) % cycle + 1).cast("long")).drop("part", "rank", "before")
 
 
-def mix(docs: DataFrame, max_epochs: float = 3.0, seed: int = 7, slice_rows: int = 20_000, size: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, max_epochs: float = 3.0, seed: int = 7, slice_rows: int = 2_000, size: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
     """``(doc_id, size, source_size, target, taken)`` for each row of ``docs``, and its ``carry`` columns.
 
     ``taken`` counts words with repeats, at most ``max_epochs`` times ``size``.  Reruns agree: the order is
@@ -77,12 +77,13 @@ def mix(docs: DataFrame, max_epochs: float = 3.0, seed: int = 7, slice_rows: int
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")).cast("binary"))).cast("binary"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), (n_words(text) if size is None else size).alias("size"), order.alias("ord"), *[F.col(c).alias(f"_{c}") for c in carry])
     rows = materialize(rows, "sizes")
-    slices = max(1, -(-rows.count() // slice_rows))
-    slice_of = F.floor(F.conv(F.substring("ord", 1, 8), 16, 10).cast("long") * F.lit(slices).cast("long") / F.lit(float(1 << 32))).cast("long")
-    rows = rows.withColumn("slice", slice_of)
+    counts = rows.groupBy(F.col("source").alias("of")).agg(F.ceil(F.count("*") / slice_rows).cast("long").alias("slices"))
+    rows = rows.join(materialize(counts, "counts"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    slice_of = F.floor(F.conv(F.substring("ord", 1, 8), 16, 10).cast("long") * F.col("slices") / F.lit(float(1 << 32))).cast("long")
+    rows = rows.withColumn("slice", slice_of).drop("slices")
     sums = materialize(rows.groupBy("source", "slice").agg(F.sum("size").alias("slice_size")), "slices")
     targets = water_fill(ranked_weights(sums.groupBy("source").agg(F.sum("slice_size").alias("source_size"))), max_epochs)
-    # a row a source and slice; a source has at most ``slices`` of them, one for every ``slice_rows`` documents
+    # a row a source and slice: one for every ``slice_rows`` documents
     begins = sums.withColumn("begin", F.sum("slice_size").over(Window.partitionBy("source").orderBy("slice")) - F.col("slice_size"))
     plan = begins.join(targets, begins["source"].eqNullSafe(targets["source"])).select(begins["source"], "slice", "begin", "source_size", "target", "weight")
     plan = materialize(plan, "plan")
