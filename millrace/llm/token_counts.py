@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import encoding
-from .common import arrow_batch, read_table, require, scratch_path
+from .common import arrow_batch, materialize, read_table, require, scratch_path
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 
@@ -48,7 +48,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     misses = distinct if known is None else distinct.join(known, "digest", "left_anti")
     fresh = misses.mapInArrow(_counts(tokenizer_path), "digest binary, n_tokens long")
     fresh.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_path)
-    stored = read_cache(spark, cache_path, version)
+    # one row a digest as a table, so that the join below can split the partition of a frequent text
+    stored = materialize(read_cache(spark, cache_path, version), "stored-counts")
     rows = keyed.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
     return rows.join(stored, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
