@@ -161,8 +161,14 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS, id_col: str = "doc_id", tex
     require(docs, id_col, text_col, lang_col)
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     ids = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("ord"))
+    # the order is cut into slices; only the slices that hold a language's first documents are ranked
+    ids = ids.withColumn("slice", F.shiftright("ord", 48))
+    counts = ids.groupBy(F.col("lang").alias("l"), F.col("slice").alias("s")).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("l").orderBy("s")) - F.col("n")
+    wanted = materialize(counts.withColumn("before", before).where(F.col("before") < max_docs).select("l", "s"), "training-slices")
+    few = ids.join(wanted, (F.col("lang") == F.col("l")) & (F.col("slice") == F.col("s")))
     first = Window.partitionBy("lang").orderBy("ord", "id")
-    chosen = materialize(ids.withColumn("k", F.row_number().over(first)).where(F.col("k") <= max_docs).select("id", "ord").distinct(), "training-ids")
+    chosen = materialize(few.withColumn("k", F.row_number().over(first)).where(F.col("k") <= max_docs).select("id", "ord").distinct(), "training-ids")
     sample = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").dropDuplicates(["id"])
     found = sample.groupBy("lang").applyInPandas(_learn, COUNTS).collect()  # bounded by MAX_BYTES a language
     out: dict[str, dict[bytes, int]] = {}
