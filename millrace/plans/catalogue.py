@@ -2,6 +2,25 @@
 
 from __future__ import annotations
 
-MODULES = ()
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import labels
+from ..sources import ports
+from ..sources.tables import table
+from . import queries, segmentation
+
+MODULES = (queries, segmentation)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
+
+
+def model_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents through the model port, and the labels of its answers."""
+    said = ports.ask(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", lambda: ports.stub)
+    return said.select("doc_id", labels.predicted(F.col("response")).alias("label"), "response")
+
+
+QUERIES["model_stub"] = model_stub
+SQL["model_stub"] = """SELECT doc_id, CASE WHEN length(text) > 500 THEN 'ANSWER' ELSE 'WAIT' END AS label,
+  CASE WHEN length(text) > 500 THEN '<ANSWER> ' || length(text) || ' signs' ELSE '<WAIT> more context is needed' END AS response FROM documents"""
