@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
 from .text import strict_true
 
 # The three checks of a validated row.
@@ -40,10 +41,16 @@ DUAL = Ladder(fence_first=True)
 CUTS = Ladder(fence=False)
 
 
+def _whole(x: Column) -> Column:
+    """Whether the text is one JSON value and nothing more: the parser stops after the first value, so the
+    text is read as the only element of a list."""
+    return let(F.try_parse_json(F.concat(F.lit("["), x, F.lit("]"))), lambda v: v.isNotNull() & F.try_variant_get(v, "$[0]", "variant").isNotNull() & F.try_variant_get(v, "$[1]", "variant").isNull())
+
+
 def repaired(text: Column, ladder: Ladder) -> Column:
     """The JSON text that the ladder finds; null if there is none."""
     low, high = (r"\{", r"\}") if ladder.kind == "object" else (r"\[", r"\]")
-    valid = lambda x: F.when(F.try_parse_json(x).isNotNull(), x)
+    valid = lambda x: F.when(_whole(x), x)
     direct = valid(text)
     tag = "json" if ladder.json_fence_only else "(?:json)?"
     some = lambda pattern, group: F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
@@ -68,12 +75,14 @@ def verdict(text: Column, ladder: Ladder = VALIDATOR) -> Column:
     Where the model's own verdict differs the checks decide and the reason says so.  Text beyond repair
     gives its recovered verdict no checks, so it fails; without any verdict all is null.
     """
-    found = repaired(text, ladder)
-    late = recovered_verdict(text)
+    both = F.struct(repaired(text, ladder).alias("found"), recovered_verdict(text).alias("late"))
+    return let(both, lambda x: _decided(x["found"], x["late"]))
+
+
+def _decided(found: Column, late: Column) -> Column:
     told = F.lower(F.coalesce(F.get_json_object(found, "$.verdict"), late))
     checks = [F.coalesce(strict_true(found, f"$.checks.{c}"), F.lit(False)) for c in CHECKS]
-    all_true = checks[0] & checks[1] & checks[2]
-    decided = F.when(all_true, "pass").otherwise("fail")
+    decided = F.when(checks[0] & checks[1] & checks[2], "pass").otherwise("fail")
     reason = F.when(found.isNull(), F.lit("[truncated]")).otherwise(F.coalesce(F.get_json_object(found, "$.reason"), F.lit("")))
     note = F.concat(F.lit(" [checks decide: "), told, F.lit(" -> "), decided, F.lit("]"))
     out = F.struct(decided.alias("verdict"), F.concat(reason, F.when(told != decided, note).otherwise("")).alias("reason"), (told != decided).alias("overridden"), *[c.alias(n) for c, n in zip(checks, CHECKS, strict=True)])

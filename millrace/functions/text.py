@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 def strip(x: Column) -> Column:
     """Without blanks at both ends, Unicode ones too."""
     return F.regexp_replace(F.regexp_replace(x, r"(?U)\A\s+", ""), r"(?U)\s+\z", "")
@@ -50,12 +52,16 @@ def visual_verdict(text: Column, positive: Sequence[str], negative: Sequence[str
 
 def classify(text: Column, lexicon: Mapping[str, Sequence[str]], default: str) -> Column:
     """``struct(category, reason)``: most hits win, the first category wins ties, no hit gives the default."""
+    return let(text, lambda t: _classified(t, lexicon, default))
+
+
+def _classified(text: Column, lexicon: Mapping[str, Sequence[str]], default: str) -> Column:
     scored = []
     for order, (name, words) in enumerate(lexicon.items()):
         found = hits(text, words)
         scored.append(F.struct(F.size(found).alias("n"), F.lit(-order).alias("o"), F.lit(name).alias("category"), F.array_join(F.slice(found, 1, 5), ", ").alias("reason")))
-    best = F.array_max(F.array(*scored))
-    return F.when(best["n"] > 0, F.struct(best["category"].alias("category"), best["reason"].alias("reason"))).otherwise(F.struct(F.lit(default).alias("category"), F.lit("").alias("reason")))
+    none = F.struct(F.lit(default).alias("category"), F.lit("").alias("reason"))
+    return let(F.array_max(F.array(*scored)), lambda best: F.when(best["n"] > 0, F.struct(best["category"].alias("category"), best["reason"].alias("reason"))).otherwise(none))
 
 
 def safe_int(x: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.binding import let
 
 # Folder of each category.
 CATEGORY_FOLDERS = {"扫查教学型": "scan_tutorial", "病例讲解型": "case_reasoning", "器官系统教学型": "organ_system_lecture", "待人工分类": "uncategorized"}
@@ -62,8 +63,8 @@ def target_size(keep: Column | int, factor: int = 4) -> Column:
 
 def cascade(rows: DataFrame, text: Column, lang: str, domain: Sequence[str], positive: Sequence[str], negative: Sequence[str]) -> DataFrame:
     """``reject_reason``: language, then domain, then looks; null for what stays."""
-    t = T.normalize(text)
-    reason = F.when(~T.looks_like(t, lang), "language").when(F.size(T.hits(t, domain)) == 0, "domain").when(~T.visual_verdict(t, positive, negative), "visual")
+    first = lambda t: F.when(~T.looks_like(t, lang), "language").when(F.size(T.hits(t, domain)) == 0, "domain").when(~T.visual_verdict(t, positive, negative), "visual")
+    reason = let(T.normalize(text), first)
     return rows.withColumn("reject_reason", reason)
 
 

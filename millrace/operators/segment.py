@@ -9,13 +9,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..functions.text import ends_sentence
 
-IN_VIDEO = Window.partitionBy("video").orderBy("ord")
 CLIP = "struct<start:double,end:double,n:bigint,reason:string>"
 
 
+def in_video() -> WindowSpec:
+    return Window.partitionBy("video").orderBy("ord")
+
+
 def numbered(clips: DataFrame) -> DataFrame:
     """``clip_idx`` from 0 by start in each video."""
     return clips.withColumn("clip_idx", (F.row_number().over(Window.partitionBy("video").orderBy("start", "end")) - 1).cast("int"))
@@ -23,8 +27,8 @@ def numbered(clips: DataFrame) -> DataFrame:
 
 def by_gap(segments: DataFrame, gap: float, min_len: float = 0.0) -> DataFrame:
     """Sessions closed by silences of at least ``gap``; shorter ones than ``min_len`` fall out."""
-    silent = F.col("start") - F.lag("end").over(IN_VIDEO) >= gap
-    session = F.sum(F.when(silent, 1).otherwise(0)).over(IN_VIDEO)
+    silent = F.col("start") - F.lag("end").over(in_video()) >= gap
+    session = F.sum(F.when(silent, 1).otherwise(0)).over(in_video())
     clips = segments.withColumn("session", session).groupBy("video", "session").agg(F.min("start").alias("start"), F.max_by("end", "ord").alias("end"), F.count("*").alias("n"))
     return numbered(clips.where(F.col("end") - F.col("start") >= min_len).drop("session"))
 
@@ -133,7 +137,7 @@ def by_cuts(segments: DataFrame, cuts: DataFrame, last_topic: str = "", min_len:
     inside = cuts.join(segments.select("video", "ord"), ["video", "ord"], "left_semi")
     one = inside.groupBy("video", "ord").agg(F.max_by("topic", "additional").alias("topic"))
     marked = segments.join(one.withColumn("cut", F.lit(True)), ["video", "ord"], "left").withColumn("cut", F.coalesce("cut", F.lit(False)))
-    part = F.sum(F.when(F.col("cut") & (F.col("ord") > 0), 1).otherwise(0)).over(IN_VIDEO)
+    part = F.sum(F.when(F.col("cut") & (F.col("ord") > 0), 1).otherwise(0)).over(in_video())
     spans = marked.withColumn("part", part).groupBy("video", "part").agg(F.min_by("start", "ord").alias("start"), F.max_by("end", "ord").alias("end"), F.count("*").alias("n"), F.min_by("topic", "ord").alias("own_topic"), F.max("cut").alias("any_cut"))
     whole, following = Window.partitionBy("video"), Window.partitionBy("video").orderBy("part")
     later = F.lead("part").over(following).isNotNull()
@@ -169,7 +173,7 @@ def correlation(a: Column, b: Column) -> Column:
 
 def lag_similarity(frames: DataFrame, threshold: float = 0.3) -> DataFrame:
     """Similarity to the last readable frame before (``hist`` not null), 1 for the first; unreadable frames fall out."""
-    before = F.last("hist", ignorenulls=True).over(IN_VIDEO.rowsBetween(Window.unboundedPreceding, -1))
+    before = F.last("hist", ignorenulls=True).over(in_video().rowsBetween(Window.unboundedPreceding, -1))
     rows = frames.withColumn("before", before).where("hist IS NOT NULL")
     rows = rows.withColumn("similarity", F.when(F.col("before").isNull(), F.lit(1.0)).otherwise(correlation(F.col("before"), F.col("hist"))))
     return rows.withColumn("scene_change", F.coalesce(F.col("similarity") < threshold, F.lit(False))).drop("before", "hist")

@@ -72,7 +72,7 @@ def _changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return s, segment.nearest_cuts(s, s.where("event_id % 6 = 0").select("video", F.col("start").alias("time")), 300)
 
 
-@query(f"WITH {_CUTS} SELECT video, ord FROM cut")
+@query(f"WITH {_CUTS} SELECT video, ord::INT AS ord FROM cut")
 def nearest_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sentence end closest to each scene change."""
     return _changes(spark, sf_dir)[1]

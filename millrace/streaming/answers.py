@@ -33,3 +33,33 @@ def job_status(log: DataFrame) -> DataFrame:
     last = F.max_by("status", F.struct("at", "ord")).alias("status")
     lines = F.array_sort(F.collect_list(F.struct("at", "ord", "line")))
     return log.groupBy("job").agg(last, F.max("at").alias("updated_at"), F.transform(F.slice(lines, -F.least(F.size(lines), F.lit(600)), F.lit(600)), lambda x: x["line"]).alias("logs"))
+
+
+ANSWERED = "question string, answered_at double, waits long"
+
+
+def first_answers(ticks: DataFrame) -> DataFrame:
+    """A stream of ticks (``question, t, answer_time, clip_end``) to one row a question, when its answer is there.
+
+    State is a count of waits and a flag a question; ticks after the answer or the clip's end are passed
+    over.  Ticks of one question may come in any number of batches, in order.
+    """
+
+    def run(key, parts, state):
+        import pandas as pd
+
+        waits, done = state.get if state.exists else (0, False)
+        out = []
+        for part in parts:
+            for t, answer, end in part.sort_values("t")[["t", "answer_time", "clip_end"]].itertuples(index=False):
+                if done or t > end:
+                    continue
+                if t >= answer:
+                    done = True
+                    out.append((key[0], float(t), waits))
+                else:
+                    waits += 1
+        state.update((waits, done))
+        yield pd.DataFrame(out, columns=["question", "answered_at", "waits"])
+
+    return ticks.groupBy("question").applyInPandasWithState(run, ANSWERED, "waits long, done boolean", "append", "NoTimeout")
