@@ -208,4 +208,15 @@ def op9_embedding_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op9_embedding_dup": op9_embedding_dup}
-SQL: dict[str, str] = {}
+SQL = {
+    "op9_embedding_dup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_max(list_transform(embedding, lambda x: abs(x))) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+n AS (SELECT x, count(*) AS n FROM l GROUP BY x)
+SELECT r.x AS vec_id, coalesce(any_value(n.n), 0)::BIGINT AS n_links, min(r.y) AS component_id, r.x = min(r.y) AS kept
+FROM r LEFT JOIN n ON n.x = r.x GROUP BY r.x
+""",
+}

@@ -43,10 +43,13 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(hashed)).tobytes(), "big")
 
 
+PRINTED = "doc_id long, text_key long, fp long"
+
+
 def _fingerprints(batches):
     for batch in batches:
         fp = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
-        yield arrow_batch("doc_id long, fp long", [batch.column("doc_id"), fp])
+        yield arrow_batch(PRINTED, [batch.column("doc_id"), batch.column("text_key"), fp])
 
 
 def position_sets(shared: int, size: int) -> list[tuple[int, ...]]:
@@ -186,6 +189,23 @@ def links(prints: DataFrame, bits: int, block: int = 4096, wide_above: int = WID
     return dealt.mapInArrow(_edges(bits), EDGES)
 
 
+def _text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _grouped(docs: DataFrame, bits: int, block: int, wide_above: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, text_key, fp)`` of all rows, and ``(fp, root, component_id)`` of all fingerprints."""
+    require(docs, id_col, text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
+    rows = materialize(rows.mapInArrow(_fingerprints, PRINTED), "fingerprints")
+    prints = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "prints")
+    joined = prints.join(components(links(prints.select("fp"), bits, block, wide_above), "simhash").withColumnRenamed("node", "fp"), "fp", "left")
+    rooted = materialize(joined.select("fp", "first_id", F.coalesce("root", "fp").alias("root")), "roots")
+    # only fingerprints with links meet in groups; the others keep their own smallest id
+    ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return rows, materialize(rooted.join(ids, "root").select("fp", "root", "component_id"), "components")
+
+
 def near_duplicates(docs: DataFrame, bits: int = 4, block: int = 4096, wide_above: int = WIDE_ABOVE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for each row of ``docs``.
 
@@ -194,36 +214,22 @@ def near_duplicates(docs: DataFrame, bits: int = 4, block: int = 4096, wide_abov
     stay, one result a row.  An empty table gives no rows.  Other columns are ignored, whatever their
     names.
     """
-    require(docs, id_col, text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = materialize(rows.mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints")
-    prints = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "prints")
-    joined = prints.join(components(links(prints.select("fp"), bits, block, wide_above), "simhash").withColumnRenamed("node", "fp"), "fp", "left")
-    rooted = materialize(joined.select("fp", "first_id", F.coalesce("root", "fp").alias("root")), "roots")
-    # only fingerprints with links meet in groups; the others keep their own smallest id
-    ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(ids, "root").select("fp", "component_id")
+    rows, named = _grouped(docs, bits, block, wide_above, id_col, text_col)
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stand for their group: those whose id names it, one a group.
+def keep_one(docs: DataFrame, bits: int = 4, block: int = 4096, wide_above: int = WIDE_ABOVE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each group: the one with the smallest id (a row without id only where none has one).
 
-    A group without any id keeps one row as well.  All columns of ``docs`` stay.
+    All columns of ``docs`` stay.  Rows with one id and different texts are told apart by the text; of
+    equal rows one stays.
     """
-    found = near_duplicates(docs, bits, id_col=id_col, text_col=text_col)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.join(kept, docs[id_col] == kept["doc_id"], "left_semi").dropDuplicates([id_col])
-    fp_of_null = found.where("component_id IS NULL").select("fingerprint").distinct()
-    if fp_of_null.isEmpty():
-        return named
-    # rows without ids form groups of their own: keep the smallest text of each
-    nameless = docs.where(F.col(id_col).isNull())
-    texts = nameless.groupBy(text_col).agg(*[F.first(c).alias(c) for c in docs.columns if c != text_col]).select(*docs.columns)
-    with_key = texts.withColumn("_row", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    groups = near_duplicates(with_key.select(F.col("_row"), text_col), bits, id_col="_row", text_col=text_col)
-    lone = groups.join(fp_of_null, "fingerprint", "left_semi").where("doc_id = component_id").select("doc_id").distinct()
-    return named.unionByName(with_key.join(lone, with_key["_row"] == lone["doc_id"], "left_semi").dropDuplicates(["_row"]).drop("_row"))
+    rows, named = _grouped(docs, bits, block, wide_above, id_col, text_col)
+    first = rows.join(named, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_key")).alias("b"))
+    kept = first.select(F.col("b.doc_id").alias("_kept_id"), F.col("b.text_key").alias("_kept_key"))
+    keyed = docs.withColumn("_text_key", _text_key(F.col(text_col)))
+    own = keyed[id_col].cast("long").eqNullSafe(kept["_kept_id"]) & (keyed["_text_key"] == kept["_kept_key"])
+    return keyed.join(kept, own, "left_semi").dropDuplicates([id_col, "_text_key"]).drop("_text_key")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
