@@ -86,7 +86,9 @@ def records(rows: DataFrame, clips: DataFrame, videos: DataFrame) -> DataFrame:
     """One nested record a video: clips, ordered rows, counts."""
     qa = rows.groupBy("video").agg(F.array_sort(F.collect_list(F.struct("place", "source", "type", "clip_idx", "timestamp", "question", "answer"))).alias("qa"), F.count("*").alias("num_qa"))
     own = clips.groupBy("video").agg(F.array_sort(F.collect_list(F.struct("ord", "clip_idx", "start", "end", (F.col("end") - F.col("start")).alias("duration")))).alias("clips"), F.count("*").alias("num_clips"))
-    out = videos.join(own, "video", "left").join(qa, "video", "left").join(type_counts(rows, "video"), "video", "left")
+    types = F.transform("qa", lambda q: q["type"])
+    counted = F.map_from_entries(F.transform(F.array_sort(F.array_distinct(types)), lambda t: F.struct(t, F.size(F.filter(types, lambda x: x == t)))))
+    out = videos.join(own, "video", "left").join(qa, "video", "left").withColumn("type_counts", counted)
     return out.withColumns({"num_clips": F.coalesce("num_clips", F.lit(0)), "num_qa": F.coalesce("num_qa", F.lit(0))})
 
 
