@@ -29,6 +29,7 @@ class Ladder:
     greedy: bool = True
     fence: bool = True
     json_fence_only: bool = False
+    flat: bool = False  # an object without inner braces is looked for before the outermost span
 
 
 # The parsers of the stages, by what they read.
@@ -39,6 +40,7 @@ STREAMING = Ladder("array", typed=True)
 LEGACY_OFFLINE = Ladder("array", json_fence_only=True)
 DUAL = Ladder(fence_first=True)
 CUTS = Ladder(fence=False)
+FRAME = Ladder(flat=True)
 
 
 def _whole(x: Column) -> Column:
@@ -56,6 +58,8 @@ def repaired(text: Column, ladder: Ladder) -> Column:
     some = lambda pattern, group: F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
     fenced = valid(some(rf"(?s)```{tag}\s*({low}.+?{high})\s*```", 1)) if ladder.fence else F.lit(None).cast("string")
     span = valid(some(rf"(?s)({low}.*{'' if ladder.greedy else '?'}{high})", 1))
+    if ladder.flat:
+        span = F.coalesce(valid(some(r"\{[^{}]*\}", 0)), span)
     rungs = (fenced, direct, span) if ladder.fence_first else (direct, fenced, span)
     out = F.coalesce(*rungs)
     if ladder.typed:
@@ -64,6 +68,11 @@ def repaired(text: Column, ladder: Ladder) -> Column:
     return F.when(F.coalesce(text, F.lit("")) != "", out)
 
 
+def frame_answer(text: Column) -> Column:
+    """A frame model's object; one that says the text couldn't be read where there is none."""
+    return F.coalesce(repaired(text, FRAME), F.lit('{"帧类型": "解析失败"}'))
+
+
 def recovered_verdict(text: Column) -> Column:
     """A verdict that stands in broken text; empty if there is none."""
     return F.regexp_extract(F.coalesce(text, F.lit("")), r'"verdict"\s*:\s*"(pass|fail)"', 1)

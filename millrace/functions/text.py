@@ -147,3 +147,27 @@ def thumbnail(direct: Column, listed: Column) -> Column:
     """The direct address, else the last listed one, else empty."""
     some = lambda x: F.when(strip(x) != "", x)
     return F.coalesce(some(direct), some(F.try_element_at(listed, F.lit(-1))["url"]), F.lit(""))
+
+
+def local_time(epoch: Column) -> Column:
+    """ISO text of positive epoch seconds in the session's zone; else empty."""
+    return F.when(epoch > 0, F.date_format(F.timestamp_seconds(epoch), "yyyy-MM-dd'T'HH:mm:ss")).otherwise("")
+
+
+def now_tag(clock: Column) -> Column:
+    """A run's name from its clock."""
+    return F.date_format(clock, "yyyyMMdd_HHmmss")
+
+
+# The video model's six classes, by what they lead to.
+RECOMMENDED = {
+    "keep": ("pure_ultrasound", "hands_on_tutorial"),
+    "trim": ("case_discussion", "mixed"),
+    "discard": ("ppt_lecture", "diagram_animation"),
+}
+
+
+def recommendation(kind: Column) -> Column:
+    """What a class leads to; null for an unknown one."""
+    pairs = [F.lit(x) for what, kinds in RECOMMENDED.items() for k in kinds for x in (k, what)]
+    return F.try_element_at(F.create_map(*pairs), kind)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -124,5 +124,17 @@ def data_url(content: Column, kind: str = "video/mp4") -> Column:
     return F.concat(F.lit(f"data:{kind};base64,"), F.base64(content))
 
 
-def first_seen(rows: DataFrame, key: str, order: str) -> DataFrame:
-    return rows.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_k = 1").drop("_k")
+def inputs(spark: SparkSession, paths: Sequence[str], schema: T.StructType | str) -> DataFrame:
+    """Documents of all paths and globs, each file once, in path order."""
+    rows = spark.read.schema(schema).option("multiLine", True).json(list(dict.fromkeys(paths)))
+    return rows.select("*", F.col("_metadata.file_path").alias("path")).orderBy("path")
+
+
+def row_at(rows: DataFrame, index: int, order: str = "idx") -> DataFrame:
+    """The row with a given number; out of range raises."""
+    return required(rows.where(F.col(order) == index))
+
+
+def by_category(rows: DataFrame, path: str, folder: Column, mode: str = "errorifexists") -> None:
+    """One folder a category."""
+    rows.withColumn("category_folder", folder).write.mode(mode).partitionBy("category_folder").json(path)

@@ -63,3 +63,16 @@ def first_answers(ticks: DataFrame) -> DataFrame:
         yield pd.DataFrame(out, columns=["question", "answered_at", "waits"])
 
     return ticks.groupBy("question").applyInPandasWithState(run, ANSWERED, "waits long, done boolean", "append", "NoTimeout")
+
+
+def chunks(words: DataFrame, first: float = 3.0, step: float = 1.0) -> DataFrame:
+    """Words of a video (``video, start, text``) in its chunks: the first is longer, the others alike.
+
+    Silent chunks inside stay as empty ones; those behind the last word don't exist.
+    """
+    number = F.when(F.col("start") < first, 0).otherwise(F.floor((F.col("start") - first) / step) + 1).cast("long")
+    said = words.withColumn("chunk", number).groupBy("video", "chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "text"))), lambda w: w["text"]), " ").alias("text"))
+    spans = said.groupBy("video").agg(F.max("chunk").alias("last")).select("video", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("chunk"))
+    rows = spans.join(said, ["video", "chunk"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+    begin = F.when(F.col("chunk") == 0, F.lit(0.0)).otherwise(first + (F.col("chunk") - 1) * step)
+    return rows.withColumns({"begin": begin, "end": first + F.col("chunk") * step})
