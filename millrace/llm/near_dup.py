@@ -43,13 +43,13 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(hashed)).tobytes(), "big")
 
 
-PRINTED = "doc_id long, text_key long, fp long"
+PRINTED = "doc_id long, row_key long, fp long"
 
 
 def _fingerprints(batches):
     for batch in batches:
         fp = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
-        yield arrow_batch(PRINTED, [batch.column("doc_id"), batch.column("text_key"), fp])
+        yield arrow_batch(PRINTED, [batch.column("doc_id"), batch.column("row_key"), fp])
 
 
 def position_sets(shared: int, size: int) -> list[tuple[int, ...]]:
@@ -189,14 +189,14 @@ def links(prints: DataFrame, bits: int, block: int = 4096, wide_above: int = WID
     return dealt.mapInArrow(_edges(bits), EDGES)
 
 
-def _text_key(text: Column) -> Column:
-    return F.xxhash64(F.coalesce(text, F.lit("")))
+def _row_key(row_id: Column, text: Column) -> Column:
+    return F.xxhash64(row_id, F.coalesce(text, F.lit("")))
 
 
 def _grouped(docs: DataFrame, bits: int, block: int, wide_above: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """``(doc_id, text_key, fp)`` of all rows, and ``(fp, root, component_id)`` of all fingerprints."""
+    """``(doc_id, row_key, fp)`` of all rows, and ``(fp, root, component_id)`` of all fingerprints."""
     require(docs, id_col, text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _row_key(F.col(id_col).cast("long"), F.col(text_col)).alias("row_key"), F.col(text_col).alias("text"))
     rows = materialize(rows.mapInArrow(_fingerprints, PRINTED), "fingerprints")
     prints = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "prints")
     joined = prints.join(components(links(prints.select("fp"), bits, block, wide_above), "simhash").withColumnRenamed("node", "fp"), "fp", "left")
@@ -225,11 +225,12 @@ def keep_one(docs: DataFrame, bits: int = 4, block: int = 4096, wide_above: int
     equal rows one stays.
     """
     rows, named = _grouped(docs, bits, block, wide_above, id_col, text_col)
-    first = rows.join(named, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_key")).alias("b"))
-    kept = first.select(F.col("b.doc_id").alias("_kept_id"), F.col("b.text_key").alias("_kept_key"))
-    keyed = docs.withColumn("_text_key", _text_key(F.col(text_col)))
-    own = keyed[id_col].cast("long").eqNullSafe(kept["_kept_id"]) & (keyed["_text_key"] == kept["_kept_key"])
-    return keyed.join(kept, own, "left_semi").dropDuplicates([id_col, "_text_key"]).drop("_text_key")
+    first = rows.join(named, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row_key")).alias("b"))
+    kept = first.select(F.col("b.doc_id").alias("_kept_id"), F.col("b.row_key").alias("_kept_key"))
+    keyed = docs.withColumn("_row_key", _row_key(F.col(id_col).cast("long"), F.col(text_col)))
+    # texts are dealt once, by the row key alone; the id is compared beside it, and equal rows meet there too
+    same_id = F.coalesce(keyed[id_col].cast("long") - kept["_kept_id"], F.lit(0)) == 0
+    return keyed.join(kept, (keyed["_row_key"] == kept["_kept_key"]) & same_id, "left_semi").dropDuplicates(["_row_key", id_col]).drop("_row_key")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
