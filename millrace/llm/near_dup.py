@@ -227,10 +227,20 @@ def keep_one(docs: DataFrame, bits: int = 4, block: int = 4096, wide_above: int
     rows, named = _grouped(docs, bits, block, wide_above, id_col, text_col)
     first = rows.join(named, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row_key")).alias("b"))
     kept = first.select(F.col("b.doc_id").alias("_kept_id"), F.col("b.row_key").alias("_kept_key"))
+    repeated = rows.groupBy(F.col("row_key").alias("_kept_key")).agg(F.count("*").alias("n")).where("n > 1").select("_kept_key", F.lit(True).alias("_more"))
+    kept = materialize(kept.join(repeated, "_kept_key", "left"), "kept")
     keyed = docs.withColumn("_row_key", _row_key(F.col(id_col).cast("long"), F.col(text_col)))
-    # texts are dealt once, by the row key alone; the id is compared beside it, and equal rows meet there too
-    same_id = F.coalesce(keyed[id_col].cast("long") - kept["_kept_id"], F.lit(0)) == 0
-    return keyed.join(kept, (keyed["_row_key"] == kept["_kept_key"]) & same_id, "left_semi").dropDuplicates(["_row_key", id_col]).drop("_row_key")
+
+    def of(chosen: DataFrame) -> DataFrame:
+        # texts are dealt by the row key alone; the id is compared beside it
+        same_id = F.coalesce(keyed[id_col].cast("long") - chosen["_kept_id"], F.lit(0)) == 0
+        return keyed.join(chosen, (keyed["_row_key"] == chosen["_kept_key"]) & same_id, "left_semi")
+
+    out = of(kept.where("_more IS NULL"))
+    again = kept.where("_more IS NOT NULL")
+    if not again.isEmpty():  # only rows that stand more than once need to be grouped
+        out = out.unionByName(of(again).dropDuplicates(["_row_key", id_col]))
+    return out.drop("_row_key")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
