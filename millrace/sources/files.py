@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import tempfile
+import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +25,22 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(where)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder that the cluster names; a local one only where it names none, as in tests."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = "file://" + tempfile.mkdtemp(prefix="millrace-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/millrace/{name}-{uuid.uuid4().hex}"
+
+
+def stored(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table at ``path``, made first unless it is there and whole: a run that is repeated goes on behind its last one."""
+    if not exists(spark, f"{path}/_SUCCESS"):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def documents(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str) -> DataFrame:
     """Whole-file JSON documents, one row each."""
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)

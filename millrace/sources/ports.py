@@ -18,19 +18,46 @@ def stub(prompts: list[str]) -> list[str]:
     return [f"<ANSWER> {len(p)} signs" if len(p or "") > 500 else "<WAIT> more context is needed" for p in prompts]
 
 
-def ask(rows: DataFrame, prompt: str, model: Callable[[], ModelPort], out: str = "response") -> DataFrame:
-    """Add the model's text to each row; ``model()`` is made once a task.  Put filters before the call."""
-    shape = rows.drop(out).withColumn(out, F.lit(None).cast("string")).schema
-    at = rows.drop(out).columns.index(prompt)
+def _one_by_one(call: ModelPort, prompts: list[str]) -> tuple[list[str | None], list[str | None]]:
+    """Texts and errors of a batch that failed as a whole: only the prompts at fault stay without a text."""
+    texts, errors = [], []
+    for p in prompts:
+        try:
+            texts.append(call([p])[0])
+            errors.append(None)
+        except Exception as e:  # whatever a model raises is this row's result
+            texts.append(None)
+            errors.append(f"{type(e).__name__}: {e}")
+    return texts, errors
+
+
+def ask(rows: DataFrame, prompt: str, model: Callable[[], ModelPort], out: str = "response", error: str | None = None) -> DataFrame:
+    """Add the model's text to each row; ``model()`` is made once a task.  Put filters before the call.
+
+    A failing call fails the job, unless ``error`` names a column: then its prompts are asked singly, and
+    those that fail again have no text and say why there.
+    """
+    added = [out] if error is None else [out, error]
+    rows = rows.drop(*added)
+    shape = rows.withColumns({c: F.lit(None).cast("string") for c in added}).schema
+    at = rows.columns.index(prompt)
 
     def run(batches: Iterator):
         import pyarrow as pa
 
         call = model()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(call(batch.column(at).to_pylist()), pa.string())], names=[*batch.schema.names, out])
+            prompts = batch.column(at).to_pylist()
+            try:
+                texts, errors = call(prompts), [None] * len(prompts)
+            except Exception:
+                if error is None:
+                    raise
+                texts, errors = _one_by_one(call, prompts)
+            more = [pa.array(x, pa.string()) for x in (texts, errors)[: len(added)]]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *added])
 
-    return rows.drop(out).mapInArrow(run, shape)
+    return rows.mapInArrow(run, shape)
 
 
 def backoff(attempt, limited):
