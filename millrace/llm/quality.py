@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from .common import held_out, materialize, read_table, require
 
-FEATURES = ("upper", "symbols", "pipes", "bangs", "variety", "word_length", "digits", "lines")
 BINS = 8
 
 
@@ -33,23 +32,28 @@ def counts_of(text: Column) -> dict[str, Column]:
     }
 
 
+#: Each feature: a count, what it is a share of, and where its bins end.
+CUTS = {
+    "upper": ("n_upper", "n_chars", (0.01, 0.03, 0.06, 0.1, 0.2, 0.4, 0.6)),
+    "symbols": ("n_symbols", "n_chars", (0.002, 0.01, 0.03, 0.06, 0.1, 0.2, 0.4)),
+    "pipes": ("n_pipes", "n_words", (0.0, 0.05, 0.1, 0.2, 0.4, 0.6, 0.9)),
+    "bangs": ("n_bangs", "n_words", (0.0, 0.05, 0.1, 0.2, 0.4, 0.6, 0.9)),
+    "variety": ("n_distinct", "n_words", (0.05, 0.1, 0.2, 0.35, 0.5, 0.7, 0.9)),
+    "word_length": ("n_chars", "n_words", (3.0, 4.0, 5.0, 6.0, 7.0, 9.0, 13.0)),
+    "digits": ("n_digits", "n_chars", (0.0, 0.002, 0.01, 0.03, 0.1, 0.2, 0.4)),
+    "lines": ("n_lines", "n_words", (0.0, 0.005, 0.01, 0.02, 0.05, 0.1, 0.3)),
+}
+FEATURES = tuple(CUTS)
+
+
 def style() -> dict[str, Column]:
     """Each feature as a bin from 0 to BINS - 1."""
 
-    def bins(n: str, of: str, *cuts: float) -> Column:
+    def bins(n: str, of: str, cuts: tuple[float, ...]) -> Column:
         share = F.when(F.col(of) > 0, F.col(n) / F.col(of)).otherwise(0.0)
         return sum((F.when(share > c, 1).otherwise(0) for c in cuts), F.lit(0))
 
-    return {
-        "upper": bins("n_upper", "n_chars", 0.01, 0.03, 0.06, 0.1, 0.2, 0.4, 0.6),
-        "symbols": bins("n_symbols", "n_chars", 0.002, 0.01, 0.03, 0.06, 0.1, 0.2, 0.4),
-        "pipes": bins("n_pipes", "n_words", 0.0, 0.05, 0.1, 0.2, 0.4, 0.6, 0.9),
-        "bangs": bins("n_bangs", "n_words", 0.0, 0.05, 0.1, 0.2, 0.4, 0.6, 0.9),
-        "variety": bins("n_distinct", "n_words", 0.05, 0.1, 0.2, 0.35, 0.5, 0.7, 0.9),
-        "word_length": bins("n_chars", "n_words", 3.0, 4.0, 5.0, 6.0, 7.0, 9.0, 13.0),
-        "digits": bins("n_digits", "n_chars", 0.0, 0.002, 0.01, 0.03, 0.1, 0.2, 0.4),
-        "lines": bins("n_lines", "n_words", 0.0, 0.005, 0.01, 0.02, 0.05, 0.1, 0.3),
-    }
+    return {f: bins(*of) for f, of in CUTS.items()}
 
 
 def site_of(url: Column) -> tuple[Column, Column]:
@@ -134,10 +138,59 @@ def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The source stands for the host, the language section of a source for the path."""
+    """The source stands for the host, the language section of a source for the path; numbers to 6 places."""
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
-    return score(docs, labels, F.col("source"), F.concat_ws("/", "source", "lang"))
+    out = score(docs, labels, F.col("source"), F.concat_ws("/", "source", "lang"))
+    return out.withColumns({c: F.round(c, 6) for c in ("evidence", "host_posterior", "path_posterior", "score")})
+
+
+def _bins_sql() -> str:
+    share = lambda n, of: f"CASE WHEN {of} > 0 THEN {n}::DOUBLE / {of} ELSE 0.0::DOUBLE END"
+    return ",\n  ".join(f"len(list_filter({list(cuts)}::DOUBLE[], lambda c: {share(n, of)} > c)) AS {f}" for f, (n, of, cuts) in CUTS.items())
+
+
+#: crc32 of the id's digits, bit by bit: a byte is mixed in, then eight steps follow.
+_CRC_SQL = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda d: [ascii(d)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::BIGINT) ELSE c // 2 END), 4294967295::BIGINT)"""
+
+
+def _strength_sql(sites: str) -> str:
+    return f"""SELECT CASE WHEN n IS NULL OR k < 2 THEN 10.0 WHEN between_ > 1e-12 AND within_ > 0 THEN least(greatest(within_ / between_ - 1, 1.0), 1e6) ELSE 1e6 END::DOUBLE AS v FROM (
+  SELECT n, k, s / n * (1 - s / n) AS within_, (q - n * (s / n) * (s / n) - (k - 1) * (s / n * (1 - s / n))) / greatest(n - n2 / n, 1e-9) AS between_ FROM (
+    SELECT sum(n)::DOUBLE AS n, count(*) AS k, sum(s) AS s, sum(s * s / n) AS q, sum(n * n)::DOUBLE AS n2 FROM {sites} WHERE n > 1))"""
 
 
 QUERIES = {"op6_quality": op6_quality}
-SQL: dict[str, str] = {}
+SQL = {
+    "op6_quality": rf"""
+WITH given AS (SELECT doc_id, min(quality)::INT AS label FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL AND {_CRC_SQL} % 5 <> 0 GROUP BY 1),
+counts AS (
+  SELECT doc_id, source AS host, concat_ws('/', source, lang) AS path, length(t) AS n_chars, len(regexp_extract_all(t, '[^ 	-
+]+')) AS n_words, len(list_distinct(string_split(t, ' '))) AS n_distinct,
+         len(regexp_extract_all(t, '\p{{Lu}}')) AS n_upper, len(regexp_extract_all(t, '[^\p{{L}}\p{{N}}\s.,!|]')) AS n_symbols, len(regexp_extract_all(t, '[0-9]')) AS n_digits,
+         length(t) - length(replace(t, '|', '')) AS n_pipes, (length(t) - length(replace(t, '!!', ''))) // 2 AS n_bangs, length(t) - length(replace(t, chr(10), '')) AS n_lines
+  FROM (SELECT *, coalesce(text, '') AS t FROM documents)),
+styled AS (SELECT doc_id, host, path, label, {_bins_sql()} FROM counts LEFT JOIN given USING (doc_id)),
+long AS (SELECT f, b, label FROM (UNPIVOT (SELECT label, {', '.join(f'{f}::INT AS {f}' for f in FEATURES)} FROM styled WHERE label IS NOT NULL) ON {', '.join(FEATURES)} INTO NAME f VALUE b)),
+whole AS (SELECT coalesce(sum(label), 0)::DOUBLE AS good, count(*) - coalesce(sum(label), 0)::DOUBLE AS bad FROM styled WHERE label IS NOT NULL),
+tables AS (
+  SELECT f, b, ln((count_good + 0.5::DOUBLE) / (good + 4)) - ln((count_bad + 0.5::DOUBLE) / (bad + 4)) AS v FROM (
+    SELECT g.f, g.b, coalesce(sum(label), 0) AS count_good, count(label) - coalesce(sum(label), 0) AS count_bad
+    FROM (SELECT unnest([{', '.join(f"'{f}'" for f in FEATURES)}]) AS f, b FROM range(8) r(b)) g LEFT JOIN long USING (f, b) GROUP BY 1, 2), whole),
+judged AS (
+  SELECT doc_id, host, path, label, {' + '.join(f't_{f}.v' for f in FEATURES)} AS llr
+  FROM styled {' '.join(f"JOIN tables t_{f} ON t_{f}.f = '{f}' AND t_{f}.b = styled.{f}" for f in FEATURES)}),
+owned AS (SELECT *, coalesce(label::DOUBLE, 1 / (1 + exp(-(llr + ln((good + 1) / (bad + 1)))))) AS own FROM judged, whole),
+paths AS (SELECT host, path, count(*) AS n, sum(own) AS s FROM owned GROUP BY 1, 2),
+hosts AS (SELECT host, sum(n)::BIGINT AS n, sum(s) AS s FROM paths GROUP BY 1),
+level AS (SELECT coalesce(sum(s) / sum(n), 0.5) AS v FROM hosts),
+kh AS ({_strength_sql("hosts")}), kp AS ({_strength_sql("paths")}),
+at_host AS (
+  SELECT o.*, p.n AS pn, p.s AS ps, (h.s - own + kh.v * level.v) / (h.n - 1 + kh.v) AS host_posterior
+  FROM owned o JOIN paths p ON o.host IS NOT DISTINCT FROM p.host AND o.path IS NOT DISTINCT FROM p.path JOIN hosts h ON o.host IS NOT DISTINCT FROM h.host, level, kh),
+at_path AS (SELECT *, (ps - own + kp.v * host_posterior) / (pn - 1 + kp.v) AS path_posterior FROM at_host, kp),
+scored AS (SELECT *, 1 / (1 + exp(-(llr + ln(p / (1 - p))))) AS score FROM (SELECT *, least(greatest(path_posterior, 1e-6), 1 - 1e-6::DOUBLE) AS p FROM at_path))
+SELECT doc_id, {_CRC_SQL} % 5 = 0 AS held_out, round(llr, 6) AS evidence, round(host_posterior, 6) AS host_posterior, round(path_posterior, 6) AS path_posterior, round(score, 6) AS score, score >= 0.5 AS keep
+FROM scored
+""",
+}
