@@ -78,22 +78,42 @@ def nearest_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _changes(spark, sf_dir)[1]
 
 
-@query(f"""WITH RECURSIVE {_CUTS},
+_MERGED = f"""{_CUTS},
 w AS (SELECT seg.*, cut.ord IS NOT NULL AS cut, max(seg.ord) OVER (PARTITION BY video) AS last FROM seg LEFT JOIN cut USING (video, ord)),
 f AS (
   SELECT video, ord, start AS s, 0::BIGINT AS first, cut AND "end" - start >= 900 AS closes, "end" AS e, last FROM w WHERE ord = 0
   UNION ALL
   SELECT w.video, w.ord, CASE WHEN f.closes THEN w.start ELSE f.s END, CASE WHEN f.closes THEN w.ord ELSE f.first END,
          w.cut AND w."end" - CASE WHEN f.closes THEN w.start ELSE f.s END >= 900, w."end", w.last
-  FROM f JOIN w ON w.video = f.video AND w.ord = f.ord + 1)
-SELECT video, (row_number() OVER (PARTITION BY video ORDER BY s, e) - 1)::INT AS clip_idx, s AS start, e AS "end", ord - first + 1 AS n, CASE WHEN closes THEN 'scene_change' ELSE 'end_of_video' END AS reason
-FROM f WHERE closes OR (ord = last AND e - s >= 900)""")
+  FROM f JOIN w ON w.video = f.video AND w.ord = f.ord + 1),
+m AS (SELECT video, s, e, ord - first + 1 AS n, CASE WHEN closes THEN 'scene_change' ELSE 'end_of_video' END AS reason FROM f WHERE closes OR (ord = last AND e - s >= 900))"""
+_NUMBERED = """SELECT video, (row_number() OVER (PARTITION BY video ORDER BY s, e) - 1)::INT AS clip_idx, s AS start, e AS "end", n::BIGINT AS n, reason"""
+
+
+@query(f"WITH RECURSIVE {_MERGED} {_NUMBERED} FROM m")
 def seg_hist_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy clips over those cuts; spans that are too short go on."""
     return segment.merged(*_changes(spark, sf_dir), min_len=900, max_len=1e9).select("video", "clip_idx", "start", "end", "n", "reason")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_MERGED},
+own AS (SELECT m.video, m.s AS cs, m.e AS ce, row_number() OVER (PARTITION BY m.video, m.s, m.e ORDER BY seg.ord) - 1 AS i, seg.start, seg."end", regexp_matches(seg.text, '[.?!]\\s*$') AS stops
+        FROM m JOIN seg ON seg.video = m.video AND seg.start >= m.s AND seg."end" <= m.e WHERE m.e - m.s > 2500),
+g AS (
+  SELECT video, cs, ce, i, 0::BIGINT AS first, NULL::BIGINT AS back, NULL::DOUBLE AS s, NULL::DOUBLE AS e, NULL::BIGINT AS n FROM own WHERE i = 0
+  UNION ALL
+  SELECT * FROM (SELECT video, cs, ce, i, CASE WHEN cut THEN old + 1 ELSE was END AS first, CASE WHEN stops AND i > CASE WHEN cut THEN old + 1 ELSE was END THEN i WHEN NOT cut THEN old END AS back,
+                         CASE WHEN cut THEN s END AS s, CASE WHEN cut THEN e END AS e, CASE WHEN cut THEN old - was + 1 END AS n
+    FROM (SELECT o.video, o.cs, o.ce, o.i, o.stops, g.first AS was, g.back AS old, p.start AS s, b."end" AS e, o."end" - p.start >= 2500 AND g.back IS NOT NULL AS cut
+      FROM g JOIN own o ON o.video = g.video AND o.cs = g.cs AND o.ce = g.ce AND o.i = g.i + 1 LEFT JOIN own p ON p.video = g.video AND p.cs = g.cs AND p.ce = g.ce AND p.i = g.first
+      LEFT JOIN own b ON b.video = g.video AND b.cs = g.cs AND b.ce = g.ce AND b.i = g.back))),
+z AS (SELECT video, cs, ce, max(i) AS i FROM own GROUP BY 1, 2, 3),
+parts AS (
+  SELECT video, s, e, n, reason FROM m WHERE e - s <= 2500
+  UNION ALL SELECT video, s, e, n, 'max_clip_split' FROM g WHERE n IS NOT NULL
+  UNION ALL SELECT g.video, p.start, o."end", g.i + 1 - g.first, 'max_clip_remainder' FROM g JOIN z USING (video, cs, ce, i) JOIN own o USING (video, cs, ce, i)
+    JOIN own p ON p.video = g.video AND p.cs = g.cs AND p.ce = g.ce AND p.i = g.first WHERE o."end" - p.start >= 900)
+{_NUMBERED} FROM parts""")
 def seg_hist_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with a longest length: longer spans are split at sentence ends."""
     return segment.merged(*_changes(spark, sf_dir), min_len=900, max_len=2500).select("video", "clip_idx", "start", "end", "n", "reason")
@@ -108,12 +128,16 @@ def transcript_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.sliced(s, b.select("video", "clip_idx", (F.col("clip_idx") * 3000.0 + F.col("b")).alias("start"), (F.col("clip_idx") * 3000.0 + F.col("b") + 3000).alias("end")))
 
 
-@query()
+@query("""WITH v AS (SELECT label AS video, vec_id AS ord, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE vec_id % 10 > 0),
+b AS (SELECT *, lag(e) OVER (PARTITION BY video ORDER BY ord) AS p, len(e)::DOUBLE AS n FROM v),
+c AS (SELECT video, ord, CASE WHEN p IS NULL THEN 1.0::DOUBLE ELSE (n * list_dot_product(p, e) - list_sum(p) * list_sum(e))
+  / nullif(sqrt(n * list_dot_product(p, p) - list_sum(p) * list_sum(p)) * sqrt(n * list_dot_product(e, e) - list_sum(e) * list_sum(e)), 0) END AS r FROM b)
+SELECT video, ord, round(r, 9) AS similarity, coalesce(r < 0.3, false) AS scene_change FROM c""")
 def lag_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Correlation of each vector with the last readable one before it in its label."""
+    """Correlation of each vector with the last readable one before it in its label, to 9 places."""
     v = table(spark, sf_dir, "embeddings")
     frames = v.select(F.col("label").alias("video"), F.col("vec_id").alias("ord"), F.when(F.col("vec_id") % 10 > 0, F.col("embedding")).alias("hist"))
-    return segment.lag_similarity(frames)
+    return segment.lag_similarity(frames).withColumn("similarity", F.round("similarity", 9))
 
 
 @query("""WITH e AS (SELECT user_id, floor(epoch(ts))::BIGINT AS s FROM events), g AS (SELECT *, CASE WHEN s - lag(s) OVER w >= 1800 THEN 1 ELSE 0 END AS cut FROM e WINDOW w AS (PARTITION BY user_id ORDER BY s)),
