@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import jsonrepair, labels, windows
 from ..functions import text as T
-from ..operators import acquire, evaluate, qa, quality
+from ..operators import acquire, evaluate, nearest, qa, quality
 from ..sources.tables import PREDICTIONS_SQL, QA_SQL, clips, predictions, qa_rows, table
 
 QUERIES = {}
@@ -434,3 +434,11 @@ def memory_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     met = q.join(unit, "label").where("vec_id <> query_id").withColumn("cosine", F.round(dot(F.col("q"), F.col("embedding")) / (F.col("qn") * F.col("norm")), 9))
     w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
     return met.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("query_id", "rank", "vec_id", "cosine")
+
+
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+m AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))), 9) AS cosine FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id)::INT AS rank, vec_id, cosine FROM m QUALIFY rank <= 5""")
+def memory_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five frames of the whole bank most like each query vector (ids divisible by 50), whatever their labels."""
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
