@@ -1,0 +1,217 @@
+"""Near copies by the exact Jaccard similarity of word shingles: an all-pairs join by prefix filtering.
+
+Two sets at 4/5 or more share at least 4/5 of the larger one's size, so in any order of all shingles they share one of the
+first n - ceil(4n/5) + 1 of each: the prefix.  Prefixes are posted, and pairs that meet in a list are compared
+by size and by a bitmap of shingle parities, whose differing bits can't exceed the differing shingles.  None
+of the filters loses a pair; those left are verified on whole sets.  The order puts shingles that a
+sample shows often behind the others; it decides how long lists get, not what is found.
+
+Equal sets fall together first.  Large groups would make pairs with their square, so a first round compares each
+member of a list with its neighbour and with the first of its block only, and the second round compares what then still
+lies in different components.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import near_dup
+from .common import arrow_batch, components, materialize, require
+
+WIDTH = 5
+#: Rows whose shingles are counted for the order, and how many counts are kept.
+SAMPLE = 20_000
+COMMON = 100_000
+#: Nodes up to which those whose sets are wanted are broadcast; beyond, they are joined.
+WANTED = 1 << 20
+BITS = 512
+PAIRS = "a long, b long"
+
+
+def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """Sorted XXH64 values of the distinct word shingles; a shorter text is one shingle, also without words."""
+    import xxhash
+
+    words = (text or "").encode().lower().split()
+    every = zip(*(words[i:] for i in range(width)), strict=False) if len(words) >= width else [words]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, near_dup.SEED) for s in map(b" ".join, every)), np.uint64))
+
+
+def _node(s: np.ndarray) -> int:
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), near_dup.SEED)).view(np.int64))
+
+
+def prefix(s: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The shingles of which any set at 4/5 or more has at least one in its own prefix."""
+    n = len(s) - -(-4 * len(s) // 5) + 1
+    if not len(common):
+        return s[:n]
+    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+    return s[np.lexsort((s, np.where(common[at] == s, counts[at], 0)))[:n]]
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """Whether an odd number of shingles falls on each bit."""
+    return np.packbits(np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).tobytes()
+
+
+def _counted(batches):
+    for batch in batches:
+        sets = [shingles(t) for t in batch.column("text").to_pylist()]
+        yield arrow_batch("key long", [np.concatenate([*sets, np.array([], np.uint64)]).view(np.int64)])
+
+
+PRINTED = "doc_id long, row_key long, fp long, size int, sketch binary, prefix array<long>"
+
+
+def _printed(common: np.ndarray, counts: np.ndarray):
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            sets = [shingles(t) for t in batch.column("text").to_pylist()]
+            heads = [prefix(s, common, counts).view(np.int64) for s in sets]
+            columns = [pa.array([_node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([sketch(s) for s in sets], pa.binary()), pa.array(heads, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), *columns], names=["doc_id", "row_key", "fp", "size", "sketch", "prefix"])
+
+    return run
+
+
+def _set_rows(batches):
+    for batch in batches:
+        sets = [shingles(t) for t in batch.column("text").to_pylist()]
+        yield arrow_batch("fp long, set binary", [[_node(s) for s in sets], [s.tobytes() for s in sets]])
+
+
+def _verified(batches):
+    for batch in batches:
+        same = []
+        for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            same.append(5 * both >= 4 * (len(x) + len(y) - both))
+        yield arrow_batch("a long, b long, same boolean", [batch.column("a"), batch.column("b"), same])
+
+
+def close(left: np.ndarray, right: np.ndarray, root: np.ndarray, size: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that may be at 4/5 or more and are not in one component yet."""
+    a, b = size[left], size[right]
+    ok = (root[left] != root[right]) & (5 * np.minimum(a, b) >= 4 * np.maximum(a, b))
+    left, right, both = left[ok], right[ok], (a + b)[ok]
+    apart = both - 2 * -(-4 * both // 9)  # shingles in which such sets can differ
+    ok = np.bitwise_count(bits[left] ^ bits[right]).sum(axis=1, dtype=np.int64) <= apart
+    return left[ok], right[ok]
+
+
+STEP = 1_000_000
+
+
+def _met(begin: np.ndarray, length: np.ndarray, every: bool):
+    """Index pairs inside runs: all of them, or those with the neighbour and with the first."""
+    if not every:
+        at = np.repeat(begin, length)
+        here = np.arange(len(at))
+        inner = here > at
+        yield here[inner] - 1, here[inner]
+        yield at[inner], here[inner]
+        return
+    for n in np.unique(length[(length > 1) & (length <= near_dup.SMALL)]):  # runs of a length at once
+        at, (i, j) = begin[length == n], np.triu_indices(n, 1)
+        step = max(1, STEP // len(i))
+        for k in range(0, len(at), step):
+            yield (at[k : k + step, None] + i).ravel(), (at[k : k + step, None] + j).ravel()
+    for b, n in zip(begin[length > near_dup.SMALL], length[length > near_dup.SMALL], strict=True):
+        rows = max(1, STEP // int(n))
+        for r in range(b, b + n, rows):
+            left, right = np.meshgrid(np.arange(r, min(r + rows, b + n)), np.arange(b, b + n), indexing="ij")
+            up = left < right
+            yield left[up], right[up]
+
+
+def _candidates(every: bool):
+    def out(keys, numbers, bits):
+        change = np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)]
+        begin = np.flatnonzero(change)
+        node, root, size = numbers
+        for left, right in _met(begin, np.diff(np.r_[begin, keys.shape[1]]), every):
+            left, right = close(left, right, root, size, bits)
+            if len(left):
+                pairs = np.unique(np.stack([np.minimum(node[left], node[right]), np.maximum(node[left], node[right])]), axis=1)
+                yield arrow_batch(PAIRS, [pairs[0], pairs[1]])
+
+    def run(batches):
+        held = None  # the last list, which may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")])
+            numbers = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("fp", "root", "size")])
+            bits = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+            if held:
+                keys, numbers, bits = np.concatenate([held[0], keys], axis=1), np.concatenate([held[1], numbers], axis=1), np.concatenate([held[2], bits])
+            last = np.flatnonzero((keys != keys[:, -1:]).any(axis=0))
+            cut = last[-1] + 1 if len(last) else 0
+            if cut:
+                yield from out(keys[:, :cut], numbers[:, :cut], bits[:cut])
+            held = keys[:, cut:], numbers[:, cut:], bits[cut:]
+        if held:
+            yield from out(*held)
+
+    return run
+
+
+def _rooted(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    return rows.join(components(edges, "jaccard").withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def _links(texts: DataFrame, nodes: DataFrame, block: int) -> DataFrame:
+    """``(a, b)``: enough of the links between the ``nodes`` to connect all that are linked."""
+    posted = nodes.select(F.explode("prefix").alias("key"), "fp")
+    lists = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = materialize(posted.join(lists, "key"), "jaccard-lists")
+    seen = nodes.select("fp", "size", "sketch")
+
+    def candidates(listed: DataFrame, every: bool) -> DataFrame:
+        listed = listed.withColumn("blocks", F.ceil(F.col("n") / block).cast("long")).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")))
+        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)) if every else F.col("own")
+        met = listed.withColumn("other", other).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "root", "size", "sketch")
+        dealt = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "fp")
+        return dealt.mapInArrow(_candidates(every), PAIRS).distinct()
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct().join(nodes.select("fp", "row_key"), "fp").select("row_key")
+        wanted = materialize(wanted.distinct(), "jaccard-wanted")
+        wanted = F.broadcast(wanted) if wanted.count() <= WANTED else wanted
+        sets = texts.join(wanted, "row_key", "left_semi").select("text").mapInArrow(_set_rows, "fp long, set binary")
+        sets = materialize(sets.groupBy("fp").agg(F.first("set").alias("set")), "jaccard-sets")
+        x, y = sets.select(F.col("fp").alias("a"), F.col("set").alias("x")), sets.select(F.col("fp").alias("b"), F.col("set").alias("y"))
+        return materialize(pairs.join(x, "a").join(y, "b").mapInArrow(_verified, "a long, b long, same boolean"), "jaccard-verified")
+
+    near = candidates(members.join(seen, "fp").withColumn("root", F.col("fp")), every=False)
+    first = verified(materialize(near, "jaccard-near"))
+    rooted = materialize(_rooted(members, first.where("same").select("a", "b")), "jaccard-rooted")
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
+    open_ = candidates(rooted.join(mixed, "key").join(seen, "fp"), every=True).join(first.select("a", "b"), ["a", "b"], "left_anti")
+    second = verified(materialize(open_, "jaccard-open"))
+    return first.where("same").select("a", "b").unionByName(second.where("same").select("a", "b"))
+
+
+def keep_one(docs: DataFrame, block: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each group of texts linked at 4/5 or more of their five-word shingles.
+
+    Which row stays, and repeated rows and ids, are as in ``near_dup.keep_one``.
+    """
+    require(docs, id_col, text_col)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), near_dup.row_key(F.col(id_col).cast("long"), F.col(text_col)).alias("row_key"), F.col(text_col).alias("text"))
+    one_of = max(1, docs.count() // SAMPLE)
+    often = texts.where(F.pmod("row_key", F.lit(one_of)) == 0).select("text").mapInArrow(_counted, "key long").groupBy("key").agg(F.count("*").alias("n"))
+    often = sorted((r["key"] % 2**64, r["n"]) for r in often.where("n > 2").orderBy(F.desc("n"), "key").limit(COMMON).collect())
+    common, counts = np.array([k for k, _ in often], np.uint64), np.array([n for _, n in often], np.int64)
+    printed = materialize(texts.mapInArrow(_printed(common, counts), PRINTED), "jaccard-prints")
+    nodes = materialize(printed.groupBy("fp").agg(F.min("row_key").alias("row_key"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix")), "jaccard-nodes")
+    named = materialize(_rooted(nodes.select("fp"), _links(texts, nodes, block)), "jaccard-roots")
+    return near_dup.keep_first(docs, printed.select("doc_id", "row_key", "fp"), named, id_col, text_col)

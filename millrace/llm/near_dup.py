@@ -189,14 +189,14 @@ def links(prints: DataFrame, bits: int, block: int = 4096, wide_above: int = WID
     return dealt.mapInArrow(_edges(bits), EDGES)
 
 
-def _row_key(row_id: Column, text: Column) -> Column:
+def row_key(row_id: Column, text: Column) -> Column:
     return F.xxhash64(row_id, F.coalesce(text, F.lit("")))
 
 
 def _grouped(docs: DataFrame, bits: int, block: int, wide_above: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """``(doc_id, row_key, fp)`` of all rows, and ``(fp, root, component_id)`` of all fingerprints."""
     require(docs, id_col, text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _row_key(F.col(id_col).cast("long"), F.col(text_col)).alias("row_key"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(F.col(id_col).cast("long"), F.col(text_col)).alias("row_key"), F.col(text_col).alias("text"))
     rows = materialize(rows.mapInArrow(_fingerprints, PRINTED), "fingerprints")
     prints = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "prints")
     joined = prints.join(components(links(prints.select("fp"), bits, block, wide_above), "simhash").withColumnRenamed("node", "fp"), "fp", "left")
@@ -225,11 +225,16 @@ def keep_one(docs: DataFrame, bits: int = 4, block: int = 4096, wide_above: int
     equal rows one stays.
     """
     rows, named = _grouped(docs, bits, block, wide_above, id_col, text_col)
+    return keep_first(docs, rows, named, id_col, text_col)
+
+
+def keep_first(docs: DataFrame, rows: DataFrame, named: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``keep_one``, from ``rows(doc_id, row_key, fp)`` of ``docs`` and the groups ``named(fp, root)``."""
     first = rows.join(named, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row_key")).alias("b"))
     kept = first.select(F.col("b.doc_id").alias("_kept_id"), F.col("b.row_key").alias("_kept_key"))
     repeated = rows.groupBy(F.col("row_key").alias("_kept_key")).agg(F.count("*").alias("n")).where("n > 1").select("_kept_key", F.lit(True).alias("_more"))
     kept = materialize(kept.join(repeated, "_kept_key", "left"), "kept")
-    keyed = docs.withColumn("_row_key", _row_key(F.col(id_col).cast("long"), F.col(text_col)))
+    keyed = docs.withColumn("_row_key", row_key(F.col(id_col).cast("long"), F.col(text_col)))
 
     def of(chosen: DataFrame) -> DataFrame:
         # texts are dealt by the row key alone; the id is compared beside it

@@ -1,0 +1,100 @@
+"""Exact near copies against brute force over all pairs."""
+
+from __future__ import annotations
+
+import random
+
+import numpy as np
+import pytest
+
+import corpus_pipeline as P
+from millrace.llm import jaccard_dup, near_dup
+from tests.llm.test_operators import prose
+
+FIELDS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def plain(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))}
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = random.Random(5)
+    texts = [None, "", "  ", "two words", "Two  words", "one two three four"]
+    for _ in range(25):
+        base = prose(rng, rng.randint(8, 150)).split()
+        for _ in range(rng.randint(1, 6)):
+            words = list(base)
+            for _ in range(rng.randint(0, max(1, len(words) // 40))):
+                words[rng.randrange(len(words))] = f"w{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+    line = prose(rng, 30)
+    texts += [f"{line} {prose(rng, rng.choice([6, 60]))}" for _ in range(60)]  # one line in many texts
+    base = prose(rng, 120).split()
+    for _ in range(90):  # a large group, not all of it linked to all
+        words = list(base)
+        words[rng.randrange(len(words))] = f"w{rng.randrange(10**6)}"
+        words[rng.randrange(len(words))] = f"w{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    rng.shuffle(texts)
+    return [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+
+
+def firsts(rows):
+    sets = [plain(t) for _, t, *_ in rows]
+    root = list(range(len(rows)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    return {top(i) for i in range(len(rows))}
+
+
+@pytest.mark.parametrize("block, sample", [(2048, 20_000), (7, 40)])
+def test_all_linked_texts_fall_together(spark, rows, monkeypatch, block, sample):
+    monkeypatch.setattr(jaccard_dup, "SAMPLE", sample)
+    docs = spark.createDataFrame(rows, FIELDS)
+    kept = jaccard_dup.keep_one(docs, block=block)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(firsts(rows))
+
+
+def test_stage_finds_copies_beyond_the_byte_index(spark, rows):
+    """Copies at 4/5 whose fingerprints differ in more than 4, and in more than 7, of 64 bits are dropped."""
+    rng = random.Random(8)
+    pairs, far = [], []
+    while len([b for b in far if b > 7]) < 3:
+        words = prose(rng, 60).split()
+        other = list(words)
+        other[30] = "another"
+        a, b = " ".join(words), " ".join(other)
+        assert 5 * len(plain(a) & plain(b)) >= 4 * len(plain(a) | plain(b))
+        far.append((near_dup.fingerprint(a) ^ near_dup.fingerprint(b)).bit_count())
+        pairs.append((a, b))
+    docs = spark.createDataFrame([(2 * k + i, t, "en", "s", 0) for k, p in enumerate(pairs) for i, t in enumerate(p)], FIELDS)
+    assert sorted(r["doc_id"] for r in P.drop_near_copies(spark, docs, "").collect()) == [2 * k for k in range(len(pairs))]
+    assert P.drop_near_copies(spark, docs.limit(0), "").count() == 0
+
+
+def test_filters_lose_nothing():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        n = int(rng.integers(1, 80))
+        a = rng.integers(0, 2**63, n).astype(np.uint64)
+        b = np.r_[a[: int(rng.integers(1, n + 1))], rng.integers(0, 2**63, int(rng.integers(0, 12))).astype(np.uint64)]
+        a, b = np.unique(a), np.unique(b)
+        common = np.unique(rng.choice(a, 3))
+        both = len(np.intersect1d(a, b))
+        if 5 * both >= 4 * (len(a) + len(b) - both):
+            assert set(jaccard_dup.prefix(a, common, np.arange(len(common)))) & set(jaccard_dup.prefix(b, common, np.arange(len(common))))
+            bits = np.frombuffer(jaccard_dup.sketch(a) + jaccard_dup.sketch(b), np.uint64).reshape(2, -1)
+            zero, one = np.array([0]), np.array([1])
+            assert len(jaccard_dup.close(zero, one, np.array([0, 1]), np.array([len(a), len(b)]), bits)[0]) == 1
