@@ -31,23 +31,24 @@ LATIN_SYLLABLES = ("bar", "ben", "cor", "dal", "den", "far", "gal", "gar", "hal"
 CYRILLIC_SYLLABLES = ("бар", "вол", "гор", "дан", "жар", "зор", "кар", "лон", "мар", "нев", "пол", "рад", "сел", "тар", "фед", "шум")
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _NAME = r"\p{Lu}\p{L}+"
-_GIVEN = "|".join((*MALE_NAMES, *FEMALE_NAMES, *CYRILLIC_MALE, *CYRILLIC_FEMALE))
-_TITLE = "|".join(sorted((*MALE_TITLES, *FEMALE_TITLES), key=len, reverse=True))
+_GIVEN = f"(?iu:{'|'.join((*MALE_NAMES, *FEMALE_NAMES, *CYRILLIC_MALE, *CYRILLIC_FEMALE))})"
+_TITLE = f"(?iu:{'|'.join(sorted({*MALE_TITLES, *FEMALE_TITLES} - {'Miss'}, key=lambda t: (-len(t), t)))}|(?-i:M)iss)"  # "miss" is a verb
+_BEFORE_NAME = r"\b(?=\p{L}+\.? \p{Lu})"
 KINDS = {
     "email": r"[\p{L}\p{N}._%+\-]+@(?:[\p{L}\p{N}\-]+\.)+\p{L}{2,}",
     "key": r"\bAKIA[0-9A-Z]{16}\b",
-    "token": r"(?<=token = \")[0-9a-f]{32,64}(?=\")",
-    "password": r"(?<=password=)[^\s\"']{6,}",
+    "token": r"(?<=(?i:token) = \")[0-9a-fA-F]{32,64}(?=\")",
+    "password": r"(?<=(?i:password)=)[^\s\"']{6,}",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": rf"(?<![\w.])(?:{OCTET}\.){{3}}{OCTET}(?![\w]|\.\d)",
     "ssn": r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
     "card": r"(?<![\w+])(?:\d{13,19}|(?:\d{4}[ \-]){3}\d{1,7})(?!\w)",
     "phone": r"(?<![\w.])(?:\+?\d{1,3}[ .\-]?)?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?!\w)|\+\d{1,3}(?:[ .\-]?\d{2,4}){2,5}(?!\w)|(?<![\w.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\w\-])",
-    "person": rf"\b(?=\p{{Lu}})(?:(?:{_TITLE})\b\.? {_NAME}(?:[ \-]{_NAME}){{0,2}}|(?:{_GIVEN}) {_NAME}(?:-{_NAME})?)",
+    "person": rf"{_BEFORE_NAME}(?:{_TITLE}\b\.? {_NAME}(?:[ \-]{_NAME}){{0,2}}|{_GIVEN} {_NAME}(?:-{_NAME})?)",
 }
 UNION = "|".join(f"(?:{p})" for p in KINDS.values())
 #: Texts without any of these can't hold an entity.
-CHEAP = rf"[0-9@]|password=|\b(?=\p{{Lu}})(?:{_TITLE}|{_GIVEN})\b"
+CHEAP = rf"[0-9@]|(?i:password)=|{_BEFORE_NAME}(?:{_TITLE}|{_GIVEN})(?!\p{{L}})"
 DEFAULT_KEY = "millrace"
 #: Values that needed another attempt are sent as one map up to so many; beyond, they are joined.
 MAP_LIMIT = 5_000
@@ -57,9 +58,10 @@ MAX_ATTEMPTS = 64
 
 def kind_of(value: Column) -> Column:
     out = F.lit(None).cast("string")
-    for kind, pattern in sorted(KINDS.items(), key=lambda k: k[0] != "password"):  # asked last: it fits most values
+    # password is asked last, as it fits most values, and token first, as upper-case hex can look like an IBAN
+    for kind, pattern in sorted(KINDS.items(), key=lambda k: (k[0] != "password") + (k[0] == "token")):
         # looked-behind context is gone from the value, so it isn't asked for again
-        bare = {"token": r"[0-9a-f]{32,64}", "password": r"[^\s\"']{6,}"}.get(kind, pattern)
+        bare = {"token": r"[0-9a-fA-F]{32,64}", "password": r"[^\s\"']{6,}"}.get(kind, pattern)
         out = F.when(value.rlike(rf"^(?:{bare})$"), F.lit(kind)).otherwise(out)
     return out
 
@@ -79,15 +81,20 @@ def _pick(pool: tuple[str, ...], digest: Column, i: int) -> Column:
 
 
 def _mapped(value: Column, digest: Column, hexadecimal: bool = False) -> Column:
-    """Each digit and letter replaced by another of its class; all else stays."""
-    digits, lower, upper = ("0123456789abcdef",) * 2 + ("",) if hexadecimal else ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    """Each digit and letter replaced by another of its class; all else stays.  Hex without lower case has none afterwards."""
+    digits, lower, upper = ("0123456789abcdef", "0123456789abcdef", "0123456789ABCDEF") if hexadecimal else ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
     def one(c: Column, i: Column) -> Column:
         of = lambda letters: F.substr(F.lit(letters), _byte(digest, i) % len(letters) + 1, F.lit(1))
-        out = F.when(c.rlike(r"^\p{N}$"), of(digits)).when(c.rlike(r"^\p{Ll}$"), of(lower))
-        return (out if hexadecimal else out.when(c.rlike(r"^\p{Lu}$"), of(upper))).otherwise(c)
+        return F.when(c.rlike(r"^\p{N}$"), of(digits)).when(c.rlike(r"^\p{Ll}$"), of(lower)).when(c.rlike(r"^\p{Lu}$"), of(upper)).otherwise(c)
 
-    return F.array_join(F.transform(F.split(value, ""), one), "")
+    out = F.array_join(F.transform(F.split(value, ""), one), "")
+    return F.when(value.rlike("[A-F]") & ~value.rlike("[a-f]"), F.upper(out)).otherwise(out) if hexadecimal else out
+
+
+def _cased(word: Column, like: Column) -> Column:
+    """``word`` in upper or lower case where ``like`` is all in it."""
+    return F.when(F.upper(like) == like, F.upper(word)).when(F.lower(like) == like, F.lower(word)).otherwise(word)
 
 
 def _luhn(value: Column) -> Column:
@@ -104,8 +111,8 @@ def _permuted(name: Column, pool: tuple[str, ...], key: str) -> Column:
     import hashlib
 
     order = sorted(pool, key=lambda n: hashlib.sha256(f"{key}\x1f{n}".encode()).digest())
-    pairs = [F.lit(x) for n, s in zip(order, order[1:] + order[:1], strict=True) for x in (n, s)]
-    return F.try_element_at(F.create_map(*pairs), name)
+    pairs = [F.lit(x) for n, s in zip(order, order[1:] + order[:1], strict=True) for x in (n.lower(), s)]
+    return _cased(F.try_element_at(F.create_map(*pairs), F.lower(name)), name)
 
 
 def _surname(value: Column, key: str, attempt: Column) -> Column:
@@ -122,7 +129,7 @@ def _surname(value: Column, key: str, attempt: Column) -> Column:
 
 def _person(value: Column, key: str, attempt: Column) -> Column:
     """Title and separators stay; a known given name becomes one of its gender and script, other names surnames."""
-    title = F.regexp_extract(value, rf"^(?:(?:{_TITLE})\b\.? )?", 0)
+    title = F.regexp_extract(value, rf"^(?:{_TITLE}\b\.? )?", 0)
     names = F.substr(value, F.length(title) + 1, F.length(value))
     parts = F.regexp_extract_all(names, F.lit(r"[^ \-]+[ \-]?"), 0)
 
@@ -149,7 +156,7 @@ def surrogate(value: Column, kind: Column, key: str, attempt: Column) -> Column:
     ssn = F.concat(F.lit("9"), _mapped(F.substr(value, F.lit(2), F.length(value)), d))
     iban = F.concat(F.substr(value, F.lit(1), F.lit(2)), _mapped(F.substr(value, F.lit(3), F.length(value)), d))
     access = F.concat(F.lit("AKIA"), _mapped(F.substr(value, F.lit(5), F.length(value)), d))
-    forms = {"email": email, "phone": phone, "ip": ip, "card": card, "ssn": ssn, "iban": iban, "key": access, "token": _mapped(value, d, hexadecimal=True), "person": _person(value, key, attempt)}
+    forms = {"email": email, "phone": phone, "ip": ip, "card": card, "ssn": ssn, "iban": iban, "key": access, "token": _mapped(value, _digest(key, kind, F.lower(value), attempt), hexadecimal=True), "person": _person(value, key, attempt)}
     plain = F.length(F.regexp_replace(value, r"[^\p{L}\p{N}]", "")) < 4  # too few to map
     out = F.when(kind == "password", F.when(plain, F.substr(d, F.lit(1), F.greatest(F.length(value), F.lit(8)))).otherwise(_mapped(value, d)))
     for name, form in forms.items():

@@ -382,6 +382,24 @@ def test_pii(spark, none):
     assert pii.replace_pii(none).count() == 0
 
 
+def test_pii_in_any_case(spark):
+    texts = [PRIVATE, PRIVATE.upper(), 'x TOKEN = "AB12CDEF0641917EA4E9FEB9CDA83477" y', "PASSWORD=HUNTERTWO", "mr. Smith, mRs Jones and john Miller", "we miss Paris and the sir", "MARY JONES"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: (r["text"], r["pii_kinds"]) for r in pii.replace_pii(docs).collect()}
+    upper, kinds = out[1]
+    assert kinds == ["email", "phone", "ip", "card", "ssn", "person", "person", "person", "token", "password", "key"]
+    for value in ("ANN.LEE42@MAIL", "555-2485", "10.20.30.40", "4041894974608795", "123-45-6789", "JOHN", "SMITH", "MEIER", "ПЕТРОВ", "0641917E", "E3B3ED3CC8", "MD62HKU6"):
+        assert value not in upper
+    shape = r"MR\. (\w+) [A-Z]+ [A-Z]+ FRAU [A-Z]+-[A-Z]+\. ГОСПОДИН [А-Я]+\. TOKEN = \"([0-9A-F]{40})\" PASSWORD=[A-Z]\d[A-Z]\d[A-Z]{2}\d[A-Z]{2}\d AKIA[A-Z0-9]{16}$"
+    m = re.search(shape, upper)
+    assert m and m[1] in {n.upper() for n in pii.MALE_NAMES} and m[2].lower() in out[0][0]  # coreference
+    assert out[2][1] == ["token"] and re.fullmatch(r'x TOKEN = "[0-9A-F]{32}" y', out[2][0]) and "AB12" not in out[2][0]
+    assert out[3][1] == ["password"] and re.fullmatch(r"PASSWORD=[A-Z]{9}", out[3][0]) and "HUNTER" not in out[3][0]
+    assert out[4][1] == ["person"] * 3 and re.fullmatch(r"mr\. [A-Z][a-z]+, mRs [A-Z][a-z]+ and [a-z]+ [A-Z][a-z]+", out[4][0]) and not re.search("Smith|Jones|john|Miller", out[4][0])
+    assert out[5] == (texts[5], [])
+    assert out[6][1] == ["person"] and out[6][0].split()[0] in {n.upper() for n in pii.FEMALE_NAMES} - {"MARY"}
+
+
 def test_pii_collisions(spark):
     # 900 numbers of four free digits: first surrogates must clash somewhere, settled ones must not
     rows = [(k, f"at (11) 555-{k:04d} x") for k in range(0, 9000, 10)]
