@@ -128,6 +128,17 @@ def transcript_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.sliced(s, b.select("video", "clip_idx", (F.col("clip_idx") * 3000.0 + F.col("b")).alias("start"), (F.col("clip_idx") * 3000.0 + F.col("b") + 3000).alias("end")))
 
 
+@query(f"""WITH {SEGMENTS_SQL}, c AS (SELECT video, k AS clip_idx, k * 3000.0::DOUBLE + b AS start, k * 3000.0::DOUBLE + b + 3000 AS "end"
+  FROM (SELECT video, min(start) AS b, unnest(generate_series(0, floor((max("end") - min(start)) / 3000)::BIGINT)) AS k FROM seg GROUP BY 1))
+SELECT c.video, c.clip_idx::INT AS clip_idx, string_agg(s.text, ' ' ORDER BY s.ord) AS text, count(*) AS n FROM c JOIN seg s ON s.video = c.video AND (s.start + s."end") / 2 BETWEEN c.start AND c."end" GROUP BY 1, 2""")
+def transcript_slice_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with clips up to each video's last end, so that every segment is in one."""
+    s = segments(spark, sf_dir)
+    last = F.floor((F.max("end") - F.min("start")) / 3000).cast("int")
+    b = s.groupBy("video").agg(F.min("start").alias("b"), last.alias("last")).withColumn("clip_idx", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    return segment.sliced(s, b.select("video", "clip_idx", (F.col("clip_idx") * 3000.0 + F.col("b")).alias("start"), (F.col("clip_idx") * 3000.0 + F.col("b") + 3000).alias("end")))
+
+
 @query("""WITH v AS (SELECT label AS video, vec_id AS ord, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE vec_id % 10 > 0),
 b AS (SELECT *, lag(e) OVER (PARTITION BY video ORDER BY ord) AS p, len(e)::DOUBLE AS n FROM v),
 c AS (SELECT video, ord, CASE WHEN p IS NULL THEN 1.0::DOUBLE ELSE (n * list_dot_product(p, e) - list_sum(p) * list_sum(e))

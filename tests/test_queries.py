@@ -57,3 +57,9 @@ def test_entry_without_the_optional_parts(monkeypatch):
     part = "numpy"
     with pytest.raises(ModuleNotFoundError):
         __spark_entry__.queries()
+
+
+def test_slices_cover_every_segment(spark):
+    """Each segment's midpoint is in a clip; the five clips of transcript_slice leave most out."""
+    count = lambda name: catalogue.QUERIES[name](spark, str(SMALL)).agg({"n": "sum"}).first()[0]
+    assert count("transcript_slice_all") >= spark.read.parquet(f"{SMALL}/events.parquet").count() > count("transcript_slice")
