@@ -151,6 +151,17 @@ def lag_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.lag_similarity(frames).withColumn("similarity", F.round("similarity", 9))
 
 
+@query("""WITH v AS (SELECT label AS video, vec_id AS ord, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+b AS (SELECT *, lag(e) OVER (PARTITION BY video ORDER BY ord) AS p, len(e)::DOUBLE AS n FROM v),
+c AS (SELECT video, ord, CASE WHEN p IS NULL THEN 1.0::DOUBLE ELSE (n * list_dot_product(p, e) - list_sum(p) * list_sum(e))
+  / nullif(sqrt(n * list_dot_product(p, p) - list_sum(p) * list_sum(p)) * sqrt(n * list_dot_product(e, e) - list_sum(e) * list_sum(e)), 0) END AS r FROM b)
+SELECT video, ord, round(r, 9) AS similarity, coalesce(r < 0.3, false) AS scene_change FROM c""")
+def lag_similarity_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with every vector readable."""
+    frames = table(spark, sf_dir, "embeddings").select(F.col("label").alias("video"), F.col("vec_id").alias("ord"), F.col("embedding").alias("hist"))
+    return segment.lag_similarity(frames).withColumn("similarity", F.round("similarity", 9))
+
+
 @query("""WITH e AS (SELECT user_id, floor(epoch(ts))::BIGINT AS s FROM events), g AS (SELECT *, CASE WHEN s - lag(s) OVER w >= 1800 THEN 1 ELSE 0 END AS cut FROM e WINDOW w AS (PARTITION BY user_id ORDER BY s)),
 k AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS session FROM g)
 SELECT user_id, min(s) AS start_s, max(s) + 1800 AS end_s, count(*) AS n FROM k GROUP BY user_id, session""")

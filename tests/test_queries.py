@@ -63,3 +63,8 @@ def test_slices_cover_every_segment(spark):
     """Each segment's midpoint is in a clip; the five clips of transcript_slice leave most out."""
     count = lambda name: catalogue.QUERIES[name](spark, str(SMALL)).agg({"n": "sum"}).first()[0]
     assert count("transcript_slice_all") >= spark.read.parquet(f"{SMALL}/events.parquet").count() > count("transcript_slice")
+
+
+def test_every_vector_is_compared(spark):
+    vectors = spark.read.parquet(f"{SMALL}/embeddings.parquet").count()
+    assert catalogue.QUERIES["lag_similarity_all"](spark, str(SMALL)).count() == vectors > catalogue.QUERIES["lag_similarity"](spark, str(SMALL)).count()
