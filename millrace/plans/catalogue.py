@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels
-from ..sources import ports
+from ..sources import files, ports
 from ..sources.tables import table
 from . import lifecycle, queries, segmentation
 
@@ -24,3 +27,19 @@ def model_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["model_stub"] = model_stub
 SQL["model_stub"] = """SELECT doc_id, CASE WHEN length(text) > 500 THEN 'ANSWER' ELSE 'WAIT' END AS label,
   CASE WHEN length(text) > 500 THEN '<ANSWER> ' || length(text) || ' signs' ELSE '<WAIT> more context is needed' END AS response FROM documents"""
+
+
+def roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as JSON lines and as CSV and read again: the digests of their texts."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    root = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='millrace-')}/roundtrip-{uuid.uuid4().hex}"
+    files.write_lines(docs, f"{root}/lines")
+    files.write_csv(docs, f"{root}/csv")
+    lines = files.json_lines(spark, f"{root}/lines", docs.schema)
+    csv = spark.read.schema(docs.schema).options(header=True, multiLine=True, escape='"', emptyValue="", enforceSchema=True).csv(f"{root}/csv")
+    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest")
+    return lines.select(F.lit("lines").alias("sink"), "doc_id", digest).unionByName(csv.select(F.lit("csv").alias("sink"), "doc_id", digest))
+
+
+QUERIES["roundtrip"] = roundtrip
+SQL["roundtrip"] = "SELECT sink, doc_id, md5(coalesce(text, '')) AS digest FROM documents, (VALUES ('lines'), ('csv')) s(sink)"

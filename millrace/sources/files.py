@@ -105,7 +105,7 @@ def write_csv(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """CSV with a byte order mark before each file's header; nested values are JSON, nulls are empty."""
     flat = rows.select(*[_csv_value(f.name, f.dataType) for f in rows.schema])
     names = flat.columns
-    flat.select(*[F.col(f"`{n}`").alias(BOM + n if k == 0 else n) for k, n in enumerate(names)]).write.mode(mode).option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    flat.select(*[F.col(f"`{n}`").alias(BOM + n if k == 0 else n) for k, n in enumerate(names)]).write.mode(mode).option("header", True).option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def triples(stream: Column) -> Column:

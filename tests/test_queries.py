@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from pathlib import Path
 
 import duckdb
@@ -68,3 +69,10 @@ def test_slices_cover_every_segment(spark):
 def test_every_vector_is_compared(spark):
     vectors = spark.read.parquet(f"{SMALL}/embeddings.parquet").count()
     assert catalogue.QUERIES["lag_similarity_all"](spark, str(SMALL)).count() == vectors > catalogue.QUERIES["lag_similarity"](spark, str(SMALL)).count()
+
+
+def test_roundtrip_keeps_texts(spark, tmp_path):
+    texts = ["plain", 'say "hi", ok', "two\nlines", "back\\slash \\\" end\\", "", None, "  spaces  ", "tab\t", "ünï"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["sink"], r["doc_id"], r["digest"]) for r in catalogue.QUERIES["roundtrip"](spark, str(tmp_path)).collect()}
+    assert got == {(sink, i, hashlib.md5((t or "").encode()).hexdigest()) for sink in ("lines", "csv") for i, t in enumerate(texts)}
