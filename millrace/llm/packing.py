@@ -135,10 +135,13 @@ def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int, passes: i
 
 
 def _pack(capacity: int, passes: int):
-    def run(key, part):
-        n = part["length"].to_numpy()
-        part = part.iloc[np.lexsort((part["ids_crc32"], part["piece"], part["doc_id"].fillna(-1), -n))].reset_index(drop=True)
-        n = part["length"].to_numpy()
+    def run(key, table):
+        import pyarrow as pa
+
+        ids, n = table.column("doc_id"), table.column("length").to_numpy()
+        rank = [table.column(c).to_numpy() for c in ("ids_crc32", "piece")] + [ids.fill_null(0).to_numpy(), ids.is_null().to_numpy()]
+        order = np.lexsort((*rank, -n))
+        table, n = table.take(pa.array(order)), n[order]
         short = np.flatnonzero(n < capacity)
         bins = [[int(short[i]) for i in b] for b in improve(best_fit(n[short], capacity), n[short], capacity, passes)]
         bins += [[int(i)] for i in np.flatnonzero(n >= capacity)]
@@ -148,9 +151,8 @@ def _pack(capacity: int, passes: int):
             for i in b:
                 sequence[i], offset[i] = s, at
                 at += n[i]
-        part["sequence_id"] = sequence + (int(key[0]) << 32)
-        part["offset"] = offset
-        return part[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]].astype({"doc_id": "Int64"})
+        kept = table.select(["doc_id", "piece", "start", "length", "ids_crc32"])
+        return kept.append_column("sequence_id", pa.array(sequence + (key[0].as_py() << 32))).append_column("offset", pa.array(offset))
 
     return run
 
@@ -170,7 +172,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int
     pieces = materialize(rows.mapInArrow(_pieces(tokenizer_path, capacity, end_id), PIECES), "pieces")
     groups = max(1, -(-pieces.count() // group_rows))
     dealt = pieces.withColumn("group", F.col("deal") % groups)
-    return dealt.groupBy("group").applyInPandas(_pack(capacity, passes), PACKED)
+    return dealt.groupBy("group").applyInArrow(_pack(capacity, passes), PACKED)
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
