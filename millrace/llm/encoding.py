@@ -3,7 +3,8 @@
 ``load(path)`` gives ``each(texts)``, which yields the ids of one text after another, with the library's default handling of
 special strings inside texts and without added special tokens.  A byte-level BPE ``.json`` whose merge
 ranks follow its ids is run by ``tiktoken`` on the same ranks and special tokens: the ids are the same
-and it takes about a fifth of the time; every other ``.json`` is run by ``tokenizers`` itself.
+and it takes about a fifth of the time; every other ``.json`` is run by ``tokenizers`` itself, and so is any
+text that the fast path refuses (its split pattern runs out of stack in a blank run of about a million).
 """
 
 from __future__ import annotations
@@ -45,30 +46,45 @@ def _ranks(spec: dict) -> dict[bytes, int] | None:
 
 
 class Encoder:
+    """``each(texts)`` yields the ids of one text after another."""
+
     def __init__(self, path: str):
-        self.digest = file_digest(path)
+        self.digest, self.path, self._library = file_digest(path), path, None
         if path.endswith(".model"):
             import sentencepiece
 
             piece = sentencepiece.SentencePieceProcessor(model_file=path)
-            self.each = lambda texts: (piece.encode(t) for t in texts)
+            self.one = piece.encode
             return
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         ranks = _ranks(spec)
-        if ranks is not None:
-            import tiktoken
-
-            special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-            fast = tiktoken.Encoding(self.digest, pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens=special)
-            self.each = lambda texts: (fast.encode(t, allowed_special="all") for t in texts)
+        if ranks is None:
+            self.one = self.by_library
             return
-        from tokenizers import Tokenizer
+        import tiktoken
+
+        special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        self.fast = tiktoken.Encoding(self.digest, pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        self.one = self._fast_or_library
+
+    def _fast_or_library(self, text: str) -> list[int]:
+        try:
+            return self.fast.encode(text, allowed_special="all")
+        except ValueError:  # the regex engine's stack has a bound, the library's has none
+            return self.by_library(text)
+
+    def by_library(self, text: str) -> list[int]:
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+            self._library.no_truncation()
+            self._library.no_padding()
+        return self._library.encode(text, add_special_tokens=False).ids
 
-        slow = Tokenizer.from_file(path)
-        slow.no_truncation()
-        slow.no_padding()
-        self.each = lambda texts: (slow.encode(t, add_special_tokens=False).ids for t in texts)
+    def each(self, texts):
+        return map(self.one, texts)
 
 
 def file_digest(path: str) -> str:

@@ -456,3 +456,28 @@ def test_site_of(spark):
     df = spark.createDataFrame([("https://www.A.example.com:80/en/x?y",), ("http://m.b.org",), (None,)], "url string")
     host, path = quality.site_of(F.col("url"))
     assert [tuple(r) for r in df.select(host, path).collect()] == [("a.example.com", "a.example.com/en"), ("b.org", "b.org/"), (None, None)]
+
+
+LONG = {"blanks": "x" + " " * 2_000_000 + "y", "letters": "a" * 2_000_000, "symbols": "!" * 2_000_000, "mixed": ("lorem ipsum\n" * 9 + " " * 1000) * 1500 + "\n" * 1_500_000}
+
+
+@pytest.mark.parametrize("kind", sorted(LONG))
+def test_very_long_runs_have_the_ids_of_the_library(kind):
+    from tokenizers import Tokenizer
+
+    assert next(encoding.load(BPE).each([LONG[kind]])) == Tokenizer.from_file(BPE).encode(LONG[kind], add_special_tokens=False).ids
+
+
+def test_very_long_runs_through_the_operators(spark):
+    docs = spark.createDataFrame(list(enumerate(LONG.values())), "doc_id long, text string")
+    want = {i: len(next(encoding.load(BPE).each([t]))) for i, t in enumerate(LONG.values())}
+    assert {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(docs, BPE).collect()} == want
+    got = packing.pack(docs, BPE).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r["doc_id"]: r["n"] - 1 for r in got} == want
+
+
+def test_packing_keeps_ids_beyond_2_to_53_beside_null(spark):
+    ids = [9007199254740993, -(2**62) - 1, None, 0]
+    docs = spark.createDataFrame([(i, "some words") for i in ids], "doc_id long, text string")
+    got = packing.pack(docs, BPE).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(map(str, ids)) and len({r["sequence_id"] for r in got}) == 1
