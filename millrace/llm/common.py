@@ -49,6 +49,13 @@ def require(df: DataFrame, *columns: str) -> None:
         raise ValueError(f"missing columns {missing}; have {df.columns}")
 
 
+def free_names(df: DataFrame, n: int) -> list[str]:
+    """``n`` column names that ``df`` doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    names = (f"_own_{k}" for k in range(n + len(taken)))
+    return [name for name in names if name not in taken][:n]
+
+
 def arrow_batch(ddl: str, columns):
     """A record batch of flat ``columns`` by a DDL schema, for Python workers (they have no session)."""
     import pyarrow as pa

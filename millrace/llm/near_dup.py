@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, components, materialize, read_table, require
+from .common import arrow_batch, components, free_names, materialize, read_table, require
 
 SEED = 42
 SHINGLE = 4
@@ -231,21 +231,22 @@ def keep_one(docs: DataFrame, bits: int = 4, block: int = 4096, wide_above: int
 def keep_first(docs: DataFrame, rows: DataFrame, named: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of ``keep_one``, from ``rows(doc_id, row_key, fp)`` of ``docs`` and the groups ``named(fp, root)``."""
     first = rows.join(named, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row_key")).alias("b"))
-    kept = first.select(F.col("b.doc_id").alias("_kept_id"), F.col("b.row_key").alias("_kept_key"))
-    repeated = rows.groupBy(F.col("row_key").alias("_kept_key")).agg(F.count("*").alias("n")).where("n > 1").select("_kept_key", F.lit(True).alias("_more"))
-    kept = materialize(kept.join(repeated, "_kept_key", "left"), "kept")
-    keyed = docs.withColumn("_row_key", row_key(F.col(id_col).cast("long"), F.col(text_col)))
+    own, kept_id, kept_key, more = free_names(docs, 4)
+    kept = first.select(F.col("b.doc_id").alias(kept_id), F.col("b.row_key").alias(kept_key))
+    repeated = rows.groupBy(F.col("row_key").alias(kept_key)).agg(F.count("*").alias("n")).where("n > 1").select(kept_key, F.lit(True).alias(more))
+    kept = materialize(kept.join(repeated, kept_key, "left"), "kept")
+    keyed = docs.withColumn(own, row_key(F.col(id_col).cast("long"), F.col(text_col)))
 
     def of(chosen: DataFrame) -> DataFrame:
         # texts are dealt by the row key alone; the id is compared beside it
-        same_id = F.coalesce(keyed[id_col].cast("long") - chosen["_kept_id"], F.lit(0)) == 0
-        return keyed.join(chosen, (keyed["_row_key"] == chosen["_kept_key"]) & same_id, "left_semi")
+        same_id = F.coalesce(keyed[id_col].cast("long") - chosen[kept_id], F.lit(0)) == 0
+        return keyed.join(chosen, (keyed[own] == chosen[kept_key]) & same_id, "left_semi")
 
-    out = of(kept.where("_more IS NULL"))
-    again = kept.where("_more IS NOT NULL")
+    out = of(kept.where(F.col(more).isNull()))
+    again = kept.where(F.col(more).isNotNull())
     if not again.isEmpty():  # only rows that stand more than once need to be grouped
-        out = out.unionByName(of(again).dropDuplicates(["_row_key", id_col]))
-    return out.drop("_row_key")
+        out = out.unionByName(of(again).dropDuplicates([own, id_col]))
+    return out.drop(own)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
