@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import encoding, jaccard_dup, mixing, packing, pii, toxicity
+from millrace.llm import encoding, mixing, near_dup_wide, packing, pii, toxicity
 from millrace.llm.common import held_out, read_table, scratch_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -19,7 +19,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (4/5 of their five-word shingles): the one with the smallest id."""
-    return jaccard_dup.keep_one(docs.select(*COLUMNS))
+    return near_dup_wide.keep_one(docs.select(*COLUMNS))
 
 
 def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
