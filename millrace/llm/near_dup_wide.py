@@ -2,15 +2,15 @@
 
 At a similarity of 0.8 two SimHash fingerprints differ in about 15 of 100 bits, far beyond what the eight bytes of a
 64-bit fingerprint can index.  So a text's fingerprint has 64 bytes here (512 majority bits over its distinct shingles),
-of which such a pair shares 17 positions on average.  Posting lists are keyed by sets of positional bytes; pairs
-that meet in a list and agree in most bits of their first eight bytes are candidates.  For each candidate the shared
-positional bytes are tallied; pairs that reach ``LEAST_SHARED`` and differ in at most ``RADIUS`` bits are verified by
-the exact Jaccard similarity of their shingle sets, so no link is ever wrong.  A link is missed only if none of
-the ``POSITION_SETS`` agrees; README has the recall measured.
-
-Equal sets fall together first.  Large groups would make pairs with their square, so a first round compares each
-member of a list with its neighbour and with the first of its block only, and the second round compares what then
-still lies in different components.
+of which such a pair shares 17 positions on average.  Posting lists are keyed by sets of positional bytes.  Texts that
+meet in a list and agree in most of their first 128 bits are candidates; a list returns a spanning forest of them, so
+it never becomes pairs, and what hangs together by candidates forms a group.  In a group the shared positional bytes of
+each pair are tallied; pairs that reach ``LEAST_SHARED`` and differ in at most ``RADIUS`` bits are verified by the exact
+Jaccard similarity of their shingle sets, so no link is ever wrong.  A link is missed only if none of the
+``POSITION_SETS`` agrees; README has the recall measured.
+
+Equal sets fall together first.  Lists and groups above a block are cut into blocks, and every two blocks meet in a
+task of their own.
 """
 
 from __future__ import annotations
@@ -26,13 +26,13 @@ WIDTH = 5
 WORDS, BYTES = 8, 64
 #: How many bytes key a list, how many such sets there are, and up to how many nodes: lists stay short as tables grow.
 POSITION_SETS = ((2, 64, 1 << 24), (3, 256, 1 << 32), (4, 1024, 1 << 62))
-#: A pair at 0.8 shares 17 of 64 bytes on average (standard deviation 3.6) and differs in 78 of 512 bits (8), 10 of the first 64 (3).
-LEAST_SHARED, RADIUS, FIRST_RADIUS = 4, 130, 22
+#: A pair at 0.8 shares 17 of 64 bytes on average (standard deviation 3.6) and differs in 78 of 512 bits (8), 19 of the first 128 (4).
+LEAST_SHARED, RADIUS, FIRST_RADIUS = 4, 120, 36
 #: Nodes up to which those whose sets are wanted are broadcast; beyond, they are joined.
 WANTED = 1 << 20
 #: One node of so many is counted to find lists that are longer than a block.
 SAMPLED = 16
-PAIRS = "a long, b long"
+EDGES = near_dup.EDGES
 PRINT = tuple(f"p{k}" for k in range(WORDS))
 
 
@@ -95,37 +95,33 @@ def _keys(size: int, n: int) -> Column:
     return F.array(*keys)
 
 
-def close(left: np.ndarray, right: np.ndarray, root: np.ndarray, size: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs that may be at 4/5 or more, by size and first bits, and are not in one component yet."""
-    a, b = size[left], size[right]
-    ok = (root[left] != root[right]) & (5 * np.minimum(a, b) >= 4 * np.maximum(a, b))
-    left, right = left[ok], right[ok]
-    ok = np.bitwise_count(first[left] ^ first[right]) <= FIRST_RADIUS
-    return left[ok], right[ok]
-
-
 STEP = 1_000_000
 
 
-def _met(begin: np.ndarray, length: np.ndarray, root: np.ndarray, every: bool):
-    """Index pairs inside runs: all of different roots (and some of one), or those with the neighbour and with the first."""
-    if not every:
-        at = np.repeat(begin, length)
-        here = np.arange(len(at))
-        inner = here > at
-        yield here[inner] - 1, here[inner]
-        yield at[inner], here[inner]
-        return
+def may_be(left: np.ndarray, right: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Whether pairs may be at 4/5 or more, by size and first bits."""
+    a, b = size[left], size[right]
+    ok = 5 * np.minimum(a, b) >= 4 * np.maximum(a, b)
+    ok[ok] = np.bitwise_count(first[left[ok]] ^ first[right[ok]]).sum(axis=1, dtype=np.int64) <= FIRST_RADIUS
+    return ok
+
+
+def _met(begin: np.ndarray, length: np.ndarray, parent: np.ndarray):
+    """Index pairs inside runs: neighbours and pairs with the first, then all pairs but those inside a run's largest part."""
+    at = np.repeat(begin, length)
+    here = np.arange(len(at))
+    inner = here > at
+    yield here[inner] - 1, here[inner]
+    yield at[inner], here[inner]
     for n in np.unique(length[(length > 1) & (length <= near_dup.SMALL)]):  # runs of a length at once
         at, (i, j) = begin[length == n], np.triu_indices(n, 1)
         step = max(1, STEP // len(i))
         for k in range(0, len(at), step):
             yield (at[k : k + step, None] + i).ravel(), (at[k : k + step, None] + j).ravel()
     for b, n in zip(begin[length > near_dup.SMALL], length[length > near_dup.SMALL], strict=True):
-        # a large component is met by the others, not by itself
-        names, of, counts = np.unique(root[b : b + n], return_inverse=True, return_counts=True)
-        inside = np.flatnonzero(of == counts.argmax()) + b
-        others = np.flatnonzero(of != counts.argmax()) + b
+        own = near_dup._root(parent, np.arange(b, b + n))
+        _, of, counts = np.unique(own, return_inverse=True, return_counts=True)
+        inside, others = np.flatnonzero(of == counts.argmax()) + b, np.flatnonzero(of != counts.argmax()) + b
         rows = max(1, STEP // int(n))
         for r in range(0, len(others), rows):
             left, right = np.meshgrid(others[r : r + rows], others, indexing="ij")
@@ -135,47 +131,41 @@ def _met(begin: np.ndarray, length: np.ndarray, root: np.ndarray, every: bool):
             yield left.ravel(), right.ravel()
 
 
-def _candidates(every: bool):
-    def out(keys, numbers):
-        begin = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)])
-        node, root, size, first = numbers
-        first = first.view(np.uint64)
-        for left, right in _met(begin, np.diff(np.r_[begin, keys.shape[1]]), root, every):
-            left, right = close(left, right, root, size, first)
-            if len(left):
-                pairs = np.unique(np.stack([np.minimum(node[left], node[right]), np.maximum(node[left], node[right])]), axis=1)
-                yield arrow_batch(PAIRS, [pairs[0], pairs[1]])
-
-    def run(batches):
-        held = None  # the last list, which may go on in the next batch
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")])
-            numbers = np.stack([batch.column(c).to_numpy() for c in ("fp", "root", "size", "p0")])
-            if held:
-                keys, numbers = np.concatenate([held[0], keys], axis=1), np.concatenate([held[1], numbers], axis=1)
-            last = np.flatnonzero((keys != keys[:, -1:]).any(axis=0))
-            cut = last[-1] + 1 if len(last) else 0
-            if cut:
-                yield from out(keys[:, :cut], np.ascontiguousarray(numbers[:, :cut]))
-            held = keys[:, cut:], numbers[:, cut:]
-        if held:
-            yield from out(held[0], np.ascontiguousarray(held[1]))
-
-    return run
-
-
-def _tallied(batches):
-    """The pairs that share ``LEAST_SHARED`` positional bytes and differ in at most ``RADIUS`` bits."""
+def _runs(batches, columns: tuple[str, ...]):
+    """Whole runs of equal ``columns`` of a sorted stream, some at a time: the rows of each slice and where its runs begin."""
+    import pyarrow as pa
+
+    held = None  # the last run, which may go on in the next batch
     for batch in batches:
-        side = lambda s: np.stack([batch.column(f"{s}{p}").to_numpy() for p in PRINT], axis=1).view(np.uint64)  # noqa: B023, E731
         if not batch.num_rows:
             continue
-        x = np.ascontiguousarray(side("a") ^ side("b"))
-        shared = (x.view(np.uint8) == 0).sum(axis=1)
-        ok = (shared >= LEAST_SHARED) & (np.bitwise_count(x).sum(axis=1, dtype=np.int64) <= RADIUS)
-        yield arrow_batch(PAIRS, [batch.column("a").to_numpy()[ok], batch.column("b").to_numpy()[ok]])
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        keys = np.stack([table.column(c).to_numpy() for c in columns])
+        begin = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)])
+        if begin[-1]:
+            yield table.slice(0, begin[-1]), begin[:-1]
+        held = table.slice(begin[-1])
+    if held is not None:
+        yield held, np.array([0])
+
+
+def _forest(parent: np.ndarray, node: np.ndarray):
+    """Each tree's members with its root."""
+    root = near_dup._root(parent, np.arange(len(parent)))
+    child = np.flatnonzero(root != np.arange(len(parent)))
+    return arrow_batch(EDGES, [node[child], node[root[child]]])
+
+
+def _candidates(batches):
+    for table, begin in _runs(batches, ("key", "i", "j")):
+        node, size = (table.column(c).to_numpy() for c in ("fp", "size"))
+        first = np.stack([table.column(c).to_numpy() for c in PRINT[:2]], axis=1).view(np.uint64)
+        parent = np.arange(len(node))
+        for left, right in _met(begin, np.diff(np.r_[begin, len(node)]), parent):
+            ok = may_be(left, right, size, first)
+            near_dup._hook(parent, left[ok], right[ok])
+        yield _forest(parent, node)
 
 
 def _set_rows(batches):
@@ -186,68 +176,105 @@ def _set_rows(batches):
         yield arrow_batch("fp long, set binary", [[_node(s) for s in sets], short])
 
 
-def similar(x: np.ndarray, y: np.ndarray) -> bool:
-    """Whether the sizes of cut and union of two sets say 4/5 or more."""
-    both = len(np.intersect1d(x, y))
-    return 5 * both >= 4 * (len(x) + len(y) - both)
+def tallied(prints: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Whether pairs share ``LEAST_SHARED`` positional bytes, differ in at most ``RADIUS`` bits and have sizes that allow 4/5."""
+    a, b = size[left], size[right]
+    ok = 5 * np.minimum(a, b) >= 4 * np.maximum(a, b)
+    x = prints[left[ok]] ^ prints[right[ok]]
+    shared = (x.view(np.uint8).reshape(len(x), BYTES) == 0).sum(axis=1)
+    ok[ok] = (shared >= LEAST_SHARED) & (np.bitwise_count(x).sum(axis=1, dtype=np.int64) <= RADIUS)
+    return ok
 
 
-def _verified(batches):
-    for batch in batches:
-        pairs = zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)
-        same = [similar(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")) for x, y in pairs]
-        yield arrow_batch("a long, b long, same boolean", [batch.column("a"), batch.column("b"), same])
+def shared_counts(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """How many values each of the ``rows``' sets shares with each of the ``columns``', by products of 0/1 matrices.
+
+    Only values that stand in two or more sets count; they are taken some at a time, so memory is bounded.
+    """
+    at = np.unique(np.r_[rows, columns])
+    flat, home = np.concatenate([sets[k] for k in at]), np.repeat(np.arange(len(at)), [len(sets[k]) for k in at])
+    order = np.argsort(flat, kind="stable")
+    flat, home = flat[order], home[order]
+    number = np.cumsum(np.r_[False, flat[1:] != flat[:-1]])
+    often = np.bincount(number)[number] > 1
+    number, home = np.unique(number[often], return_inverse=True)[1].ravel(), home[often]
+    out = np.zeros((len(rows), len(columns)), np.float32)
+    row_of, column_of, width = np.searchsorted(at, rows), np.searchsorted(at, columns), 2048
+    for low in range(0, int(number.max(initial=-1)) + 1, width):
+        x = np.zeros((len(at), width), np.float32)
+        some = slice(*np.searchsorted(number, (low, low + width)))
+        x[home[some], number[some] - low] = 1
+        out += x[row_of] @ x[column_of].T
+    return out
+
+
+def similar(both: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sets of sizes ``a`` and ``b`` that share ``both`` are at 4/5 or more."""
+    return 5 * both >= 4 * (a + b - both)
 
 
-def _rooted(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    found = components(edges, "similar").withColumnRenamed("node", "fp")
-    return rows.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+def _verified(batches):
+    """A spanning forest of the links inside each block pair of a group."""
+    for table, begin in _runs(batches, ("group", "i", "j")):
+        node = table.column("fp").to_numpy()
+        prints = np.stack([table.column(c).to_numpy() for c in PRINT], axis=1).view(np.uint64)
+        sets = [np.unique(np.frombuffer(x, "<u4")) for x in table.column("set").to_pylist()]
+        size, parent = np.array([len(x) for x in sets]), np.arange(len(node))
+        for b, n in zip(begin, np.diff(np.r_[begin, len(node)]), strict=True):
+            columns, step = np.arange(b, b + n), max(1, min(512, STEP // int(n)))
+            for r in range(b, b + n, step):
+                rows = np.arange(r, min(r + step, b + n))
+                left, right = (x.ravel() for x in np.meshgrid(rows, columns, indexing="ij"))
+                ok = left < right
+                left, right = left[ok], right[ok]
+                ok = tallied(prints, size, left, right)
+                left, right = left[ok], right[ok]
+                if not len(left):
+                    continue
+                if len(left) <= 16:
+                    both = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(left, right, strict=True)])
+                else:
+                    some, others = np.unique(left), np.unique(right)
+                    counts = shared_counts(sets, some, others)
+                    both = np.rint(counts[np.searchsorted(some, left), np.searchsorted(others, right)]).astype(np.int64)
+                ok = similar(both, size[left], size[right])
+                near_dup._hook(parent, left[ok], right[ok])
+        yield _forest(parent, node)
+
+
+def _blocked(rows: DataFrame, n: Column, block: int, *keys: str) -> DataFrame:
+    """Rows with the numbers ``i, j`` of the block pairs that they are in, dealt and sorted by ``keys`` and those."""
+    blocks = F.coalesce(F.ceil(n / block).cast("long"), F.lit(1).cast("long"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))
+    own = rows.withColumn("_blocks", blocks).withColumn("_own", F.pmod(F.xxhash64("fp"), F.col("_blocks"))).withColumn("_other", other)
+    met = own.withColumns({"i": F.least("_own", "_other"), "j": F.greatest("_own", "_other")}).drop("_blocks", "_own", "_other")
+    return met.repartition(*keys, "i", "j").sortWithinPartitions(*keys, "i", "j", "fp")
 
 
 def _links(texts: DataFrame, nodes: DataFrame, block: int) -> DataFrame:
-    """``(a, b)``: links between the ``nodes``, enough to connect all that the index finds linked."""
+    """``(a, b)``: a spanning forest of the links between the ``nodes`` that the index finds."""
     n = nodes.count()
     size, sets = next((size, sets) for size, sets, most in POSITION_SETS if n <= most)
     keys = _keys(size, sets)
     counted = nodes.where(F.pmod(F.xxhash64("fp"), F.lit(SAMPLED)) == 0).select(F.explode(keys).alias("key")).groupBy("key").agg((F.count("*") * SAMPLED).alias("n"))
     hot = materialize(counted.where(F.col("n") > block), "similar-hot")
     hot_rows = hot.count()
-
-    def candidates(rooted: DataFrame, every: bool) -> DataFrame:
-        """A list that is longer than a block is cut, and (in the second round) every two blocks meet."""
-        listed = rooted.select(F.explode(keys).alias("key"), "fp", "root", "size", "p0")
-        none = F.lit(0).cast("long")
-        if hot_rows:
-            listed = listed.join(F.broadcast(hot) if hot_rows <= WANTED else hot, "key", "left")
-            blocks = F.coalesce(F.ceil(F.col("n") / block).cast("long"), F.lit(1).cast("long"))
-            own = F.pmod(F.xxhash64("fp"), blocks)
-            other = F.explode(F.sequence(none, blocks - 1)) if every else own
-            listed = listed.withColumn("own", own).withColumn("other", other)
-        else:
-            listed = listed.withColumn("own", none).withColumn("other", none)
-        met = listed.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "root", "size", "p0")
-        dealt = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "p0", "fp")
-        return dealt.mapInArrow(_candidates(every), PAIRS).distinct()
-
-    prints = nodes.select("fp", *PRINT)
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        sided = lambda s: prints.select(F.col("fp").alias(s), *[F.col(p).alias(s + p) for p in PRINT])
-        pairs = materialize(pairs.join(sided("a"), "a").join(sided("b"), "b").mapInArrow(_tallied, PAIRS), "similar-tallied")
-        wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct().join(nodes.select("fp", "row_key"), "fp").select("row_key")
-        wanted = materialize(wanted.distinct(), "similar-wanted")
-        wanted = F.broadcast(wanted) if wanted.count() <= WANTED else wanted
-        found = texts.join(wanted, "row_key", "left_semi").select("text").mapInArrow(_set_rows, "fp long, set binary")
-        found = materialize(found.groupBy("fp").agg(F.first("set").alias("set")), "similar-sets")
-        x, y = (found.select(F.col("fp").alias(s), F.col("set").alias(v)) for s, v in ("ax", "by"))
-        return materialize(pairs.join(x, "a").join(y, "b").mapInArrow(_verified, "a long, b long, same boolean").where("same"), "similar-verified")
-
-    first = verified(candidates(nodes.withColumn("root", F.col("fp")), every=False)).select("a", "b")
-    rooted = materialize(_rooted(nodes.select("fp", "size", *PRINT), first), "similar-rooted")
-    return first.unionByName(verified(candidates(rooted, every=True)).select("a", "b"))
-
-
-def keep_one(docs: DataFrame, block: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    listed = nodes.select(F.explode(keys).alias("key"), "fp", "size", *PRINT[:2])
+    listed = listed.join(F.broadcast(hot) if hot_rows <= WANTED else hot, "key", "left") if hot_rows else listed.withColumn("n", F.lit(1))
+    met = _blocked(listed, F.col("n"), block, "key").select("key", "i", "j", "fp", "size", *PRINT[:2])
+    groups = components(met.mapInArrow(_candidates, EDGES), "similar-groups").select(F.col("node").alias("fp"), F.col("root").alias("group"))
+    grouped = materialize(nodes.select("fp", "row_key", *PRINT).join(groups, "fp"), "similar-grouped")
+    wanted = materialize(grouped.select("row_key").distinct(), "similar-wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= WANTED else wanted
+    found = texts.join(wanted, "row_key", "left_semi").select("text").mapInArrow(_set_rows, "fp long, set binary")
+    found = found.groupBy("fp").agg(F.first("set").alias("set"))
+    large = materialize(grouped.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") > block), "similar-large")
+    whole = grouped.join(large, "group", "left").join(found, "fp")
+    pairs = _blocked(whole, F.col("n"), block, "group").select("group", "i", "j", "fp", "set", *PRINT)
+    return pairs.mapInArrow(_verified, EDGES)
+
+
+def keep_one(docs: DataFrame, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` for each group of texts linked at 4/5 or more of their five-word shingles.
 
     Words are what ASCII blanks separate, in lower case; a text of fewer than five words is one shingle, and null, empty and blank texts
@@ -259,5 +286,6 @@ def keep_one(docs: DataFrame, block: int = 2048, id_col: str = "doc_id", text_co
     printed = materialize(texts.mapInArrow(_printed, PRINTED), "similar-prints")
     nodes = printed.groupBy("fp").agg(F.min("row_key").alias("row_key"), *[F.first(c).alias(c) for c in ("size", *PRINT)])
     nodes = materialize(nodes, "similar-nodes")
-    named = materialize(_rooted(nodes.select("fp"), _links(texts, nodes, block)), "similar-roots")
+    linked = components(_links(texts, nodes, block), "similar").select(F.col("node").alias("fp"), "root")
+    named = materialize(nodes.select("fp").join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "similar-roots")
     return near_dup.keep_first(docs, printed.select("doc_id", "row_key", "fp"), named, id_col, text_col)

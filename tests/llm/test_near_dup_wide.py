@@ -95,6 +95,15 @@ def test_clashing_columns_and_repeated_rows(spark):
     assert kept.columns == docs.columns and {tuple(r)[:4] for r in kept.collect()} == {rows[2], rows[4]}
 
 
+def test_shared_counts_are_cuts_of_sets():
+    rng = np.random.default_rng(1)
+    for values in (5, 300, 9000):
+        sets = [np.unique(rng.integers(0, values, rng.integers(1, 200))).astype(np.uint32) for _ in range(30)]
+        rows, columns = np.array([1, 4, 9]), np.array([2, 5, 20, 29])
+        want = [[len(np.intersect1d(sets[i], sets[j])) for j in columns] for i in rows]
+        assert near_dup_wide.shared_counts(sets, rows, columns).tolist() == want
+
+
 def test_position_sets():
     for size, n, _ in near_dup_wide.POSITION_SETS:
         sets = near_dup_wide.position_sets(size, n)
@@ -115,7 +124,8 @@ def test_filters_seldom_lose_a_pair():
         assert 5 * both >= 4 * (2 * n - both)
         x = (near_dup_wide.fingerprint(a) ^ near_dup_wide.fingerprint(b)).view(np.uint64)
         zero = x.view(np.uint8) == 0
-        ok = zero.sum() >= near_dup_wide.LEAST_SHARED and np.bitwise_count(x).sum(dtype=int) <= near_dup_wide.RADIUS and np.bitwise_count(x[0]) <= near_dup_wide.FIRST_RADIUS
+        prints, sizes, one, two = np.stack([x, np.zeros_like(x)]), np.array([n, n]), np.array([0]), np.array([1])
+        ok = near_dup_wide.tallied(prints, sizes, one, two)[0] and near_dup_wide.may_be(one, two, sizes, prints[:, :2])[0]
         filtered += not ok
         lost += not (ok and any(all(zero[p] for p in s) for s in sets))
     assert filtered <= 5 and lost <= 30
