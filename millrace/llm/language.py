@@ -6,207 +6,195 @@ probabilities of the longer ones (method C: escape = distinct / (count + distinc
 256 bytes are alike.  The code length of a text is the exact sum over its bytes; the language with the
 shortest code wins.
 
-Scoring is a table walk: bytes fall into classes (each byte that was learned from is a class of its own,
-all others share one, as no context knows them), three preceding classes address the deepest known
-context of any language, and context and class address one cost a language.  Equal costs to the tree walk
-are kept by tests.
+A tree is kept as sorted arrays of grams and contexts with their costs, 12 bytes an entry, so memory follows
+what was learned and not languages times contexts times bytes.  Scoring finds the distinct grams of a
+step of texts once, walks each language's tree for those only, and adds their costs up by text.
 """
 
 from __future__ import annotations
 
-import re
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, held_out, materialize, read_table, require
+from .common import arrow_batch, held_out, read_table, require
 
 ORDER = 3
-#: Documented bounds: so many documents a language are learned from, first in a hash order, and no further
-#: one once so many bytes are read.
+#: Documented bounds: a language is learned from about so many documents and bytes at most, by a hash of the id.
 MAX_DOCS, MAX_BYTES = 2_000, 3 << 20
-STEP_BYTES = 2 << 20
-LETTER = re.compile(r"[^\W\d_]")
-COUNTS = "lang string, gram binary, n long"
+COUNTS = "lang string, size int, gram long, n long"
 
 
-def count_grams(texts: list[bytes], order: int = ORDER) -> dict[bytes, int]:
-    """How often each context of up to ``order`` bytes was followed by each byte: grams of 1 to order + 1 bytes.
-
-    Every text begins after ``order`` zero bytes.
-    """
-    buf = np.frombuffer(b"".join(bytes(order) + t for t in texts), np.uint8).astype(np.uint64)
-    live = np.ones(len(buf), bool)
+def _windows(texts: list[bytes], order: int) -> np.ndarray:
+    """For each byte of the texts, it and the ``order`` bytes before it as one number; a text begins after zero bytes."""
+    buf = np.frombuffer(b"".join(bytes(order) + t for t in texts), np.uint8)
+    kind = np.uint32 if order < 4 else np.uint64
+    gram = np.zeros(max(len(buf) - order, 0), kind)
+    for back in range(order, -1, -1):
+        gram = (gram << kind(8)) | buf[order - back : len(buf) - back].astype(kind)
+    live = np.ones(len(gram), bool)
     at = 0
-    for t in texts:
+    for t in texts[:-1]:  # where the next text's zero bytes are
+        at += len(t)
         live[at : at + order] = False
-        at += order + len(t)
-    out: dict[bytes, int] = {}
-    for k in range(order + 1):
-        key = np.zeros(len(buf), np.uint64)
-        for back in range(k, -1, -1):
-            key = (key << np.uint64(8)) | np.r_[np.zeros(back, np.uint64), buf[: len(buf) - back]]
-        grams, n = np.unique(key[live], return_counts=True)
-        out.update(zip((int(g).to_bytes(k + 1, "big") for g in grams), n.tolist(), strict=True))
+        at += order
+    return gram[live]
+
+
+def _tail(gram: np.ndarray, size: int) -> np.ndarray:
+    """The last ``size`` bytes of each gram."""
+    return gram & gram.dtype.type((1 << 8 * size) - 1)
+
+
+def count_grams(texts: list[bytes], order: int = ORDER) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct grams of 1 to ``order + 1`` bytes and how often each stands."""
+    whole, n = np.unique(_windows(texts, order), return_counts=True)
+    out = []
+    for size in range(1, order + 2):
+        grams, at = np.unique(_tail(whole, size), return_inverse=True)
+        out.append((grams, np.bincount(at, n, len(grams)).astype(np.int64)))
     return out
 
 
 class Tree:
-    """One language's frozen context tree, as plain dictionaries; ``cost`` is the definition of the model."""
-
-    def __init__(self, grams: dict[bytes, int]):
-        self.grams = grams
-        self.total: dict[bytes, int] = {}
-        self.distinct: dict[bytes, int] = {}
-        for g, n in grams.items():
-            self.total[g[:-1]] = self.total.get(g[:-1], 0) + n
-            self.distinct[g[:-1]] = self.distinct.get(g[:-1], 0) + 1
-
-    def cost(self, context: bytes, byte: int) -> float:
-        """Code length in nats of ``byte`` after ``context``."""
-        length = 0.0
-        for k in range(len(context) + 1):
-            c = context[k:]
-            if c in self.total:
-                whole = self.total[c] + self.distinct[c]
-                n = self.grams.get(c + bytes([byte]))
-                if n:
-                    return length - float(np.log(n / whole))
-                length -= float(np.log(self.distinct[c] / whole))
-        return length + float(np.log(256))
-
-
-class Tables:
-    """All trees as dense tables over byte classes."""
-
-    def __init__(self, grams: dict[str, dict[bytes, int]], order: int = ORDER):
-        self.langs = sorted(grams)
-        seen = sorted({b for g in grams.values() for x in g if len(x) == 1 for b in x} | {0})
-        self.classes = np.full(256, len(seen), np.uint8 if len(seen) < 256 else np.uint16)
-        self.classes[seen] = np.arange(len(seen))
-        self.width, self.order = len(seen) + 1, order
-        trees = [Tree(grams[name]) for name in self.langs]
-        contexts = sorted({c for t in trees for c in t.total}, key=lambda c: (len(c), c))
-        number = {c: i for i, c in enumerate(contexts)}
-        w = self.width
-        # costs of every context and class, filled from short contexts to long ones
-        self.costs = np.zeros((len(contexts), w, len(trees)), np.float32)
-        for j, tree in enumerate(trees):
-            by_context: dict[bytes, list[tuple[int, int]]] = {}
-            for g, n in tree.grams.items():
-                by_context.setdefault(g[:-1], []).append((int(self.classes[g[-1]]), n))
-            for i, c in enumerate(contexts):
-                shorter = self.costs[number[c[1:]], :, j] if c else np.float32(np.log(256))
-                if c not in tree.total:
-                    self.costs[i, :, j] = shorter
-                    continue
-                whole = tree.total[c] + tree.distinct[c]
-                self.costs[i, :, j] = shorter - np.log(tree.distinct[c] / whole)
-                cls, n = np.array(by_context[c]).T
-                self.costs[i, cls, j] = -np.log(n / whole)
-        # the deepest known suffix of every ``order`` classes
-        self.deepest = np.zeros(w**order, np.int32)
-        for c in contexts:
-            value = 0
-            for b in c:
-                value = value * w + int(self.classes[b])
-            span = w ** len(c)
-            self.deepest.reshape(-1, span)[:, value] = number[c]
-
-    def lengths(self, texts: list[bytes]) -> np.ndarray:
-        """Code length of each text under each language."""
-        out = np.zeros((len(texts), len(self.langs)))
-        sizes = np.array([len(t) for t in texts])
-        if not sizes.sum():
-            return out
-        buf = self.classes[np.frombuffer(b"".join(bytes(self.order) + t for t in texts), np.uint8)].astype(np.int64)
-        address = np.zeros(len(buf) - self.order, np.int64)
-        for back in range(self.order):
-            address = address * self.width + buf[back : back + len(address)]
-        begin = np.cumsum(sizes + self.order) - sizes - self.order
-        # positions of real bytes: address[p] is the context of byte p + order
-        live = np.ones(len(address), bool)
-        for b in begin[1:]:
-            live[b - self.order : b] = False
-        cost = self.costs[self.deepest[address[live]], buf[self.order :][live]]
-        full = np.flatnonzero(sizes)
-        starts = (np.cumsum(sizes) - sizes)[full]
-        out[full] = np.add.reduceat(cost, starts, axis=0, dtype=np.float64)
+    """One language's frozen context tree: for each size, sorted grams and contexts with their costs in nats."""
+
+    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]]):
+        self.grams, self.contexts = [], []
+        for grams, n in counts:
+            order = np.argsort(grams)
+            grams, n = grams[order], n[order]
+            contexts, at = np.unique(grams >> grams.dtype.type(8), return_inverse=True)
+            distinct = np.bincount(at, minlength=len(contexts))
+            whole = np.bincount(at, n, len(contexts)) + distinct
+            self.grams.append((grams, -np.log(n / whole[at])))
+            self.contexts.append((contexts, -np.log(distinct / whole)))
+
+    def costs(self, gram: np.ndarray) -> np.ndarray:
+        """Code length of the last byte of each gram after the bytes before it."""
+        out, open_ = np.zeros(len(gram)), np.arange(len(gram))
+        for size in range(len(self.grams), 0, -1):
+            tail = _tail(gram[open_], size)
+            hit, cost = _found(*self.grams[size - 1], tail)
+            out[open_[hit]] += cost
+            open_, tail = open_[~hit], tail[~hit]
+            hit, cost = _found(*self.contexts[size - 1], tail >> tail.dtype.type(8))
+            out[open_[hit]] += cost
+        out[open_] += np.log(256)
         return out
 
 
-_TABLES: dict[str, Tables | None] = {}
+def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``wanted`` are among the sorted ``keys``, and the values of those."""
+    if not len(keys):
+        return np.zeros(len(wanted), bool), np.zeros(0)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    hit = keys[at] == wanted
+    return hit, values[at[hit]]
 
 
-def _learn(key, part):
+def lengths(trees: list[Tree], texts: list[bytes], order: int = ORDER) -> np.ndarray:
+    """Code length of each text under each tree."""
     import pandas as pd
 
-    texts, size = [], 0
-    for t in part.sort_values("ord")["text"]:
-        texts.append(t.encode())
-        size += len(texts[-1])
-        if size >= MAX_BYTES:
-            break
-    grams = count_grams(texts)
-    return pd.DataFrame({"lang": key[0], "gram": list(grams), "n": list(grams.values())})
+    out = np.zeros((len(texts), len(trees)))
+    sizes = np.array([len(t) for t in texts], np.int64)
+    if not sizes.sum():
+        return out
+    at, distinct = pd.factorize(_windows(texts, order))
+    full = np.flatnonzero(sizes)
+    starts = (np.cumsum(sizes) - sizes)[full]
+    for k, tree in enumerate(trees):
+        out[full, k] = np.add.reduceat(tree.costs(distinct)[at], starts)
+    return out
 
 
-def train(docs: DataFrame, max_docs: int = MAX_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, dict[bytes, int]]:
-    """Gram counts of each language from at most ``max_docs`` documents a language.
+def _count(batches):
+    """Gram counts of each batch, language by language; partial sums that meet in the aggregate."""
+    import pyarrow as pa
 
-    Rows without language, id or letters are left out; of rows with one id, one is learned from.
+    from .toxicity import steps
+
+    for batch in batches:
+        texts, langs = batch.column("text").to_pylist(), np.array(batch.column("lang").to_pylist(), object)
+        for lang in sorted(set(langs.tolist())):
+            own = [texts[k] for k in np.flatnonzero(langs == lang)]
+            for part in steps(own):
+                for size, (grams, n) in enumerate(count_grams([t.encode() for t in own[part]]), 1):
+                    columns = [pa.array([lang] * len(grams)), pa.array(np.full(len(grams), size, np.int32)), pa.array(grams.astype(np.int64)), pa.array(n)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["lang", "size", "gram", "n"])
+
+
+def sample(docs: DataFrame, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``(lang, text)`` to learn from: of each language the documents whose id hash is below a share of the hash range.
+
+    The share is such that ``max_docs`` documents and ``max_bytes`` bytes are expected, so no language is ranked
+    or gathered.  Rows without language, id or text are left out; of rows with one id and language
+    the smallest text hash counts, so reruns agree.
     """
     require(docs, id_col, text_col, lang_col)
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    ids = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("ord"))
-    # the order is cut into slices; only the slices that hold a language's first documents are ranked
-    ids = ids.withColumn("slice", F.shiftright("ord", 48))
-    counts = ids.groupBy(F.col("lang").alias("l"), F.col("slice").alias("s")).agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("l").orderBy("s")) - F.col("n")
-    wanted = materialize(counts.withColumn("before", before).where(F.col("before") < max_docs).select("l", "s"), "training-slices")
-    few = ids.join(wanted, (F.col("lang") == F.col("l")) & (F.col("slice") == F.col("s")))
-    first = Window.partitionBy("lang").orderBy("ord", "id")
-    chosen = materialize(few.withColumn("k", F.row_number().over(first)).where(F.col("k") <= max_docs).select("id", "ord").distinct(), "training-ids")
-    sample = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").dropDuplicates(["id"])
-    found = sample.groupBy("lang").applyInPandas(_learn, COUNTS).collect()  # bounded by MAX_BYTES a language
-    out: dict[str, dict[bytes, int]] = {}
-    for r in found:
-        out.setdefault(r["lang"], {})[bytes(r["gram"])] = r["n"]
+    rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND id IS NOT NULL AND text IS NOT NULL")
+    sizes = rows.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    share = sizes.select("of", F.least(F.lit(float(max_docs)) / F.col("n"), F.lit(float(max_bytes)) / F.greatest(F.col("bytes"), F.lit(1))).alias("share"))
+    place = F.shiftrightunsigned(F.xxhash64("id"), 24) / F.lit(float(1 << 40))
+    chosen = rows.join(share, F.col("lang") == F.col("of")).where(place < F.col("share"))
+    return chosen.groupBy("lang", "id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one")).select("lang", "one.text")
+
+
+def train(docs: DataFrame, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, Tree]:
+    """A tree for each language, from the ``sample``; what reaches the driver is bounded by ``max_bytes`` a language."""
+    texts = sample(docs, max_docs, max_bytes, id_col, text_col, lang_col)
+    found = texts.select("lang", "text").mapInArrow(_count, COUNTS).groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")).toArrow()
+    if not found.num_rows:
+        return {}
+    names = found.column("lang").combine_chunks().dictionary_encode()
+    names = names.combine_chunks() if hasattr(names, "combine_chunks") else names
+    lang, size = names.indices.to_numpy(), found.column("size").to_numpy()
+    gram, n = found.column("gram").to_numpy().astype(np.uint32), found.column("n").to_numpy()
+    out = {}
+    for k, name in enumerate(names.dictionary.to_pylist()):
+        out[name] = Tree([(gram[own], n[own]) for s in range(1, ORDER + 2) for own in [np.flatnonzero((lang == k) & (size == s))]])
     return out
 
 
-def predict(docs: DataFrame, grams: dict[str, dict[bytes, int]], id_col: str = "doc_id", text_col: str = "text", folds: int = 3) -> DataFrame:
+_MODELS: dict[str, tuple[list[str], list[Tree]]] = {}
+
+
+def predict(docs: DataFrame, model: dict[str, Tree], id_col: str = "doc_id", text_col: str = "text", folds: int = 3) -> DataFrame:
     """``(doc_id, held_out, lang_pred, score)`` for each row of ``docs``.
 
     ``score`` is the winner's share of all languages' probabilities.  Ties go to the first language by
-    name.  A text that is null or has no letter is ``und`` with score 0, as is all where nothing was
-    learned.  Null ids and repeated rows stay, one result a row.  An empty table gives no rows.  Other
-    columns are ignored, whatever their names.
+    name.  A text that is null or has no letter (a code point of a category L) is ``und`` with score 0, as is
+    all where nothing was learned.  Null ids and repeated rows stay, one result a row.  An empty table
+    gives no rows.  Other columns are ignored, whatever their names.
     """
     require(docs, id_col, text_col)
     shape = "doc_id long, held_out boolean, lang_pred string, score double"
-    model, name = docs.sparkSession.sparkContext.broadcast(grams), uuid.uuid4().hex
+    sent, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex  # bounded by MAX_BYTES a language
 
     def run(batches):
+        import regex
+
         from .toxicity import steps
 
-        if name not in _TABLES:  # one set of tables a worker process
-            _TABLES.clear()
-            _TABLES[name] = Tables(model.value) if model.value else None
-        tables = _TABLES[name]
+        letter = regex.compile(r"\p{L}")
+        if name not in _MODELS:  # one model a worker process
+            _MODELS.clear()
+            _MODELS[name] = sorted(sent.value), [sent.value[k] for k in sorted(sent.value)]
+        langs, trees = _MODELS[name]
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             names, scores = [], []
             for part in steps(texts):
                 raw = [t.encode() for t in texts[part]]
-                lengths = tables.lengths(raw) if tables else np.zeros((len(raw), 1))
-                best = lengths.argmin(axis=1)
-                share = 1 / np.exp(lengths[np.arange(len(raw)), best][:, None] - lengths).clip(1e-300).sum(axis=1)
+                cost = lengths(trees, raw) if trees else np.zeros((len(raw), 1))
+                best = cost.argmin(axis=1)
+                share = 1 / np.exp((cost[np.arange(len(raw)), best][:, None] - cost).clip(-700)).sum(axis=1)
                 for t, b, s in zip(texts[part], best, share, strict=True):
-                    known = tables is not None and LETTER.search(t) is not None
-                    names.append(tables.langs[b] if known else "und")
+                    known = bool(trees) and letter.search(t) is not None
+                    names.append(langs[b] if known else "und")
                     scores.append(float(s) if known else 0.0)
             yield arrow_batch(shape, [batch.column("doc_id"), batch.column("held_out"), names, scores])
 
