@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from .common import arrow_batch, held_out, materialize, read_table, require
 
 DIMS_LOG2 = 20
-#: At most so many labelled rows are learned from, those first in a hash order; a documented bound.
-MAX_TRAINING_ROWS = 20_000
+#: Documented bounds: at most so many labelled rows are learned from, those first in a hash order, and no further one
+#: once so many bytes of text are read.
+MAX_TRAINING_ROWS, MAX_TRAINING_BYTES = 20_000, 96 << 20
 # Odd multipliers of the hashes (2**64 / golden ratio, and two of the splitmix64 finaliser).
 GOLDEN, MIX_A, MIX_B = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 STEP_BYTES = 2 << 20
@@ -121,17 +122,16 @@ def _learn(epochs: int, parameters: dict):
         import pyarrow as pa
 
         order = np.lexsort((table.column("id").to_numpy(), table.column("ord").to_numpy()))
-        toxic = table.column("toxic").to_numpy()
-        indices = table.column("indices").combine_chunks()
-        if isinstance(indices, pa.ChunkedArray):
-            indices = pa.concat_arrays(indices.chunks)
-        begin = np.frombuffer(indices.buffers()[1], np.int32)[indices.offset : indices.offset + len(indices) + 1] // 4
-        flat = np.frombuffer(indices.buffers()[2] or b"", np.int32)  # no copy: the sample's features are in memory once
-        bias = np.array([1 << DIMS_LOG2], np.int32)
+        toxic, chunks = table.column("toxic").to_numpy(), []
+        for indices in table.column("indices").chunks:  # no copy: the sample's features are in memory once
+            begin = np.frombuffer(indices.buffers()[1], np.int32)[indices.offset : indices.offset + len(indices) + 1] // 4
+            flat = np.frombuffer(indices.buffers()[2] or b"", np.int32)
+            chunks += [flat[a:b] for a, b in zip(begin[:-1], begin[1:], strict=True)]
         model = Ftrl((1 << DIMS_LOG2) + 1, **parameters)
+        bias = np.array([1 << DIMS_LOG2], np.int32)
         for _ in range(epochs):
             for k in order:
-                model.learn(np.concatenate([flat[begin[k] : begin[k + 1]], bias]), float(toxic[k]))
+                model.learn(np.concatenate([chunks[k], bias]), float(toxic[k]))
         w = model.weights(slice(None))
         at = np.flatnonzero(w)
         return pa.table({"index": pa.array(at, pa.int64()), "weight": pa.array(w[at], pa.float64())})
@@ -139,19 +139,30 @@ def _learn(epochs: int, parameters: dict):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS, epochs: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **parameters) -> tuple[np.ndarray, np.ndarray]:
-    """Sparse weights ``(index, weight)`` learned from at most ``max_rows`` labelled rows.
+def train(
+    docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS, max_bytes: int = MAX_TRAINING_BYTES, epochs: int = 5,
+    id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **parameters,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Sparse weights ``(index, weight)`` learned from at most ``max_rows`` labelled rows and about ``max_bytes``.
 
-    The learner is sequential, so its sample is bounded: the first ids of a hash order.  A label that is
-    repeated counts as its largest value; null labels, null ids and null texts are left out.
+    The learner is sequential, so its sample is bounded: the first ids of a hash order, as long as the texts
+    before them have fewer than ``max_bytes``.  A label that is repeated counts as its largest value; null labels,
+    null ids and null texts are left out.  Of texts with one id the one with the smallest hash is learned from.
     """
     require(docs, id_col, text_col)
     require(labels, id_col, label_col)
-    one = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("toxic"))
+    given = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
+    one = given.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("toxic"))
     chosen = one.select("id", "toxic", F.xxhash64("id").alias("ord")).orderBy("ord", "id").limit(max_rows)
     chosen = F.broadcast(materialize(chosen, "training-ids"))  # max_rows rows of three numbers
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL").join(chosen, "id").dropDuplicates(["id"])
-    rows = sample.select("id", "ord", "toxic", "text").mapInArrow(_featurize, FEATURED)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL").join(chosen, "id")
+    sizes = rows.groupBy("ord", "id").agg(F.max(F.octet_length("text")).alias("bytes")).select("ord", "bytes").toArrow()  # max_rows rows at most
+    order = np.argsort(sizes.column("ord").to_numpy(), kind="stable")
+    before = np.cumsum(sizes.column("bytes").to_numpy()[order]) - sizes.column("bytes").to_numpy()[order]
+    within = sizes.column("ord").to_numpy()[order][before < max_bytes]
+    last = int(within[-1]) if len(within) else 0
+    texts = rows.where(F.col("ord") <= last).groupBy("id", "ord", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one"))
+    rows = texts.select("id", "ord", "toxic", "one.text").mapInArrow(_featurize, FEATURED)
     found = rows.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(_learn(epochs, parameters), "index long, weight double").collect()  # L1 leaves few
     return np.array([r["index"] for r in found], np.int64), np.array([r["weight"] for r in found])
 
