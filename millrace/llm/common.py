@@ -15,6 +15,8 @@ def scratch_root(spark: SparkSession) -> str:
     """The shared folder that the cluster names; a local one is set only where none is named, as in tests."""
     root = spark.conf.get(SCRATCH_CONF, None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set(SCRATCH_CONF, root)
     return root.rstrip("/")

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, held_out, read_table, require
+from .common import arrow_batch, held_out, materialize, read_table, require
 
 ORDER = 3
 #: Documented bounds: a language is learned from about so many documents and bytes at most, by a hash of the id.
@@ -138,6 +138,7 @@ def sample(docs: DataFrame, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND id IS NOT NULL AND text IS NOT NULL")
     sizes = rows.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
     share = sizes.select("of", F.least(F.lit(float(max_docs)) / F.col("n"), F.lit(float(max_bytes)) / F.greatest(F.col("bytes"), F.lit(1))).alias("share"))
+    share = materialize(share, "language-shares")  # a row a language, so that the join below moves no text
     place = F.shiftrightunsigned(F.xxhash64("id"), 24) / F.lit(float(1 << 40))
     chosen = rows.join(share, F.col("lang") == F.col("of")).where(place < F.col("share"))
     return chosen.groupBy("lang", "id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one")).select("lang", "one.text")
