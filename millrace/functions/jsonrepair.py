@@ -20,7 +20,8 @@ class Ladder:
 
     ``kind``: object or array.  ``typed``: direct text of another JSON type ends the search (null).
     ``fence_first``: a fenced block stands before the direct text.  ``greedy``: the span reaches to the
-    last bracket.  ``json_fence_only``: a fence must name json.
+    last bracket.  ``json_fence_only``: a fence must name json.  The
+    other flags are said beside them.
     """
 
     kind: str = "object"
@@ -30,6 +31,8 @@ class Ladder:
     fence: bool = True
     json_fence_only: bool = False
     flat: bool = False  # an object without inner braces is looked for before the outermost span
+    loose: bool = False  # fences hold any JSON; one that names json stands before a bare one
+    either: bool = False  # the span is of an array or an object, and a flat object is looked for behind it
 
 
 # The parsers of the stages, by what they read.
@@ -40,7 +43,8 @@ STREAMING = Ladder("array", typed=True)
 LEGACY_OFFLINE = Ladder("array", json_fence_only=True)
 DUAL = Ladder(fence_first=True)
 CUTS = Ladder(fence=False)
-FRAME = Ladder(flat=True)
+FRAME = Ladder(flat=True, loose=True)
+ABLATION = Ladder(loose=True, either=True)
 
 
 def _whole(x: Column) -> Column:
@@ -58,6 +62,11 @@ def repaired(text: Column, ladder: Ladder) -> Column:
     some = lambda pattern, group: F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
     fenced = valid(some(rf"(?s)```{tag}\s*({low}.+?{high})\s*```", 1)) if ladder.fence else F.lit(None).cast("string")
     span = valid(some(rf"(?s)({low}.*{'' if ladder.greedy else '?'}{high})", 1))
+    if ladder.loose:
+        inside = lambda pattern: valid(F.trim(some(pattern, 1)))
+        fenced = F.coalesce(inside(r"(?s)```json\s*(.+?)```"), inside(r"(?s)```\s*(.+?)```"))
+    if ladder.either:
+        span = F.coalesce(valid(some(r"(?s)[\{\[].*[\}\]]", 0)), valid(some(r"\{[^{}]*\}", 0)))
     if ladder.flat:
         span = F.coalesce(valid(some(r"\{[^{}]*\}", 0)), span)
     rungs = (fenced, direct, span) if ladder.fence_first else (direct, fenced, span)
@@ -69,8 +78,38 @@ def repaired(text: Column, ladder: Ladder) -> Column:
 
 
 def frame_answer(text: Column) -> Column:
-    """A frame model's object; one that says the text couldn't be read where there is none."""
-    return F.coalesce(repaired(text, FRAME), F.lit('{"帧类型": "解析失败"}'))
+    """A frame model's object; one that says the text couldn't be read, and its beginning, where there is none."""
+    failed = F.to_json(F.struct(F.lit("解析失败").alias("帧类型"), F.substring(text, 1, 300).alias("原始输出")))
+    return F.coalesce(repaired(text, FRAME), failed)
+
+
+def or_error(found: Column, text: Column, **more: Column) -> Column:
+    """What was found; else an object with ``more``, ``_parse_error`` and the text's beginning."""
+    row = [c.alias(name) for name, c in more.items()] + [F.lit(True).alias("_parse_error"), F.substring(text, 1, 500).alias("_raw")]
+    return F.coalesce(found, F.to_json(F.struct(*row)))
+
+
+def ablation_answer(text: Column) -> Column:
+    return or_error(repaired(text, ABLATION), text)
+
+
+def cuts_answer(text: Column) -> Column:
+    """A cut verifier's object; empty lists of cuts where there is none."""
+    none = F.array().cast("array<string>")
+    return or_error(repaired(text, CUTS), text, final_cuts=none, additional_cuts=none)
+
+
+def rating_answer(text: Column) -> Column:
+    """A segmentation judge's object; score 0 where there is none."""
+    return or_error(repaired(text, CUTS), text, overall_score=F.lit(0))
+
+
+def legacy_verdict(text: Column) -> Column:
+    """``struct(verdict, reason)`` of the older validator; of a text that breaks off, what stands there of both."""
+    both = F.struct(repaired(text, LEGACY_VALIDATOR).alias("found"), recovered_verdict(text).alias("late"), F.regexp_extract(text, r'"reason"\s*:\s*"([^"]*)', 1).alias("why"))
+    whole = lambda x: F.struct(F.get_json_object(x["found"], "$.verdict").alias("verdict"), F.coalesce(F.get_json_object(x["found"], "$.reason"), F.lit("")).alias("reason"))
+    part = lambda x: F.when(x["late"] != "", F.struct(x["late"].alias("verdict"), F.concat(x["why"], F.lit(" [truncated]")).alias("reason")))
+    return let(both, lambda x: F.when(x["found"].isNotNull(), whole(x)).otherwise(part(x)))
 
 
 def recovered_verdict(text: Column) -> Column:

@@ -1,39 +1,163 @@
 """Features of decoded frames: Arrow-batched, as no built-in function reads pixels.
 
-Text, faces, edges and bright areas need an image library and come in through a port as columns.
+Everything is plain array work.  Faces need a trained detector and come in through a port, as a function of one
+grey picture.  Edges are Canny's: Sobel gradients, thinning along the gradient, hysteresis between two limits.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
 FEATURES = "grayscale double, black_border double, color double"
+ALL_FEATURES = f"{FEATURES}, text double, edges double, bright double, face boolean"
 # Limits of a grey pixel's channel spread, a dark one's light, a coloured one's saturation and value.
 GREY_SPREAD, DARK, SATURATED, LIT = 25, 15, 50, 50
 LIGHT_WEIGHTS = (0.299, 0.587, 0.114)
+# Gradient limits for text and for edges; how far edges of a text grow; a text block's least width over
+# height and area and its most height; a bright pixel's light and a bright block's least share.
+TEXT_EDGES, EDGES = (100, 200), (50, 150)
+GROW_WIDTH, GROW_HEIGHT = 15, 3
+TEXT_ASPECT, TEXT_AREA, TEXT_HEIGHT = 2.0, 200, 0.1
+BRIGHT, BRIGHT_SHARE = 200, 0.05
+
+
+def light(rgb: np.ndarray) -> np.ndarray:
+    return np.rint(rgb.astype(np.float64) @ np.array(LIGHT_WEIGHTS))
 
 
 def frame_features(rgb: np.ndarray) -> tuple[float, float, float]:
     """Shares of one height x width x 3 frame: grey, near-black and coloured pixels."""
     x = rgb.astype(np.float64)
     top, spread = x.max(axis=2), np.ptp(x, axis=2)
-    light = np.rint(x @ np.array(LIGHT_WEIGHTS))
     saturation = np.rint(255 * spread / np.maximum(top, 1))
-    masks = spread < GREY_SPREAD, light < DARK, (saturation > SATURATED) & (top > LIT)
+    masks = spread < GREY_SPREAD, light(rgb) < DARK, (saturation > SATURATED) & (top > LIT)
     return tuple(round(float(m.mean()), 4) for m in masks)
 
 
-def features(pixels, height, width):
-    """``struct(grayscale, black_border, color)`` of raw RGB bytes; nulls for null or ill-sized ones."""
+def components(mask: np.ndarray, diagonal: bool = True) -> tuple[np.ndarray, int]:
+    """Numbers from 1 of the connected parts of a mask, and how many there are: runs of rows, joined where they touch."""
+    height, width = mask.shape
+    edge = np.diff(np.pad(mask, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    row, start = np.nonzero(edge == 1)
+    stop = np.nonzero(edge == -1)[1]
+    parent = np.arange(len(row))
+
+    def find(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    first, reach = np.searchsorted(row, np.arange(height + 1)), int(diagonal)
+    for r in range(1, height):
+        a, b = first[r - 1], first[r]
+        while a < first[r] and b < first[r + 1]:
+            if start[a] < stop[b] + reach and start[b] < stop[a] + reach:
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+            a, b = (a + 1, b) if stop[a] < stop[b] else (a, b + 1)
+    roots, of = np.unique([find(k) for k in range(len(row))], return_inverse=True) if len(row) else (np.array([]), np.array([], int))
+    out = np.zeros((height, width), np.int64)
+    for r, x, y, k in zip(row, start, stop, of, strict=True):
+        out[r, x:y] = k + 1
+    return out, len(roots)
+
+
+def canny(grey: np.ndarray, low: float, high: float) -> np.ndarray:
+    """Edge pixels."""
+    g = np.pad(grey.astype(np.float64), 1, mode="reflect") if min(grey.shape) > 1 else np.pad(grey.astype(np.float64), 1, mode="edge")
+    cut = lambda i, j: g[i : i + grey.shape[0], j : j + grey.shape[1]]
+    dx = cut(0, 2) + 2 * cut(1, 2) + cut(2, 2) - cut(0, 0) - 2 * cut(1, 0) - cut(2, 0)
+    dy = cut(2, 0) + 2 * cut(2, 1) + cut(2, 2) - cut(0, 0) - 2 * cut(0, 1) - cut(0, 2)
+    size = np.abs(dx) + np.abs(dy)
+    m = np.pad(size, 1)
+    near = lambda i, j: m[1 + i : 1 + i + size.shape[0], 1 + j : 1 + j + size.shape[1]]
+    x, y, slope = np.abs(dx), np.abs(dy), np.tan(np.pi / 8)
+    flat, steep, rising = y < x * slope, y * slope > x, dx * dy > 0
+    before = np.select([flat, steep, rising], [near(0, -1), near(-1, 0), near(-1, -1)], near(-1, 1))
+    behind = np.select([flat, steep, rising], [near(0, 1), near(1, 0), near(1, 1)], near(1, -1))
+    thin = (size > low) & (size > before) & (size >= behind)
+    number, n = components(thin)
+    strong = np.zeros(n + 1, bool)
+    strong[number[thin & (size > high)]] = True
+    strong[0] = False
+    return strong[number]
+
+
+def grown(mask: np.ndarray, width: int, height: int) -> np.ndarray:
+    """The mask spread over a box around each pixel."""
+    for axis, reach in ((1, width // 2), (0, height // 2)):
+        n = mask.shape[axis]
+        sums = np.cumsum(np.pad(mask.astype(np.int64), [(1, 0) if a == axis else (0, 0) for a in (0, 1)]), axis=axis)
+        at = np.arange(n)
+        mask = np.take(sums, np.minimum(at + reach + 1, n), axis=axis) - np.take(sums, np.maximum(at - reach, 0), axis=axis) > 0
+    return mask
+
+
+def text_score(grey: np.ndarray) -> float:
+    """Share of boxes around wide, low blocks of edges, which text makes."""
+    number, n = components(grown(canny(grey, *TEXT_EDGES), GROW_WIDTH, GROW_HEIGHT))
+    area = 0
+    rows, columns = np.nonzero(number)
+    of = number[rows, columns] - 1
+    low, high = np.full((2, n), np.iinfo(np.int64).max), np.full((2, n), -1)
+    for k, at in enumerate((rows, columns)):
+        np.minimum.at(low[k], of, at)
+        np.maximum.at(high[k], of, at)
+    for h, w in (high - low + 1).T:
+        if w / max(h, 1) > TEXT_ASPECT and w * h > TEXT_AREA and h < grey.shape[0] * TEXT_HEIGHT:
+            area += int(w * h)
+    return min(area / grey.size, 1.0)
+
 
-    @F.pandas_udf(FEATURES)
+def outline_area(mask: np.ndarray) -> float:
+    """Area of the outline through a part's outer pixels, holes filled: inner points and half the outer ones, less one."""
+    holes, n = components(~np.pad(mask, 1), diagonal=False)
+    filled = (holes != holes[0, 0])[1:-1, 1:-1] if n else mask
+    inner = np.pad(filled, 1)
+    inside = filled & inner[:-2, 1:-1] & inner[2:, 1:-1] & inner[1:-1, :-2] & inner[1:-1, 2:]
+    rim = int(filled.sum() - inside.sum())
+    return max(0.0, int(inside.sum()) + rim / 2 - 1)
+
+
+def bright_blocks(grey: np.ndarray) -> float:
+    """Share of large even bright areas, as slides have them."""
+    number, n = components(grey > BRIGHT)
+    areas = [outline_area(number == k) for k in range(1, n + 1) if (number == k).sum() > grey.size * BRIGHT_SHARE]
+    return min(sum(a for a in areas if a > grey.size * BRIGHT_SHARE) / grey.size, 1.0)
+
+
+def all_features(rgb: np.ndarray, face: Callable[[np.ndarray], bool] | None = None) -> tuple:
+    """All seven features of one frame; no faces are seen without a detector."""
+    grey = light(rgb)
+    more = text_score(grey), float(canny(grey, *EDGES).mean()), bright_blocks(grey)
+    return (*frame_features(rgb), *(round(x, 4) for x in more), bool(face(grey)) if face else False)
+
+
+def _of(pixels, height, width, shape: str, one: Callable[[np.ndarray], tuple]):
+    names = [f.split()[0] for f in shape.split(", ")]
+
+    @F.pandas_udf(shape)
     def run(raw: pd.Series, h: pd.Series, w: pd.Series) -> pd.DataFrame:
         out = []
         for b, i, j in zip(raw, h, w, strict=True):
             ok = b is not None and i == i and j == j and i * j > 0 and len(b) == int(i) * int(j) * 3
-            out.append(frame_features(np.frombuffer(b, np.uint8).reshape(int(i), int(j), 3)) if ok else (None,) * 3)
-        return pd.DataFrame(out, columns=["grayscale", "black_border", "color"], dtype="float64")
+            out.append(one(np.frombuffer(b, np.uint8).reshape(int(i), int(j), 3)) if ok else (None,) * len(names))
+        found = pd.DataFrame(out, columns=names, dtype=object)
+        return found.astype({n: "boolean" if n == "face" else "float64" for n in names})
 
     return run(pixels, height, width)
+
+
+def features(pixels, height, width):
+    """``struct(grayscale, black_border, color)`` of raw RGB bytes; nulls for null or ill-sized ones."""
+    return _of(pixels, height, width, FEATURES, frame_features)
+
+
+def frame_row(pixels, height, width, face: Callable[[np.ndarray], bool] | None = None):
+    """All seven features of raw RGB bytes, to 4 places; nulls for null or ill-sized ones."""
+    return _of(pixels, height, width, ALL_FEATURES, lambda rgb: all_features(rgb, face))

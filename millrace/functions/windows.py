@@ -20,9 +20,10 @@ def earlier(start: Column, end: Column, cap: float | None) -> Column:
     return window(start, F.when(end - start > cap, start + cap).otherwise(end) if cap else end)
 
 
-def after(at: Column, clip_end: Column, seconds: float) -> Column:
-    """What follows ``at`` in the clip; empty or inverted where the clip is over."""
-    return window(at, F.least(clip_end, at + seconds))
+def after(at: Column, clip_end: Column, seconds: float | None, least: float = 0.5) -> Column:
+    """What follows ``at`` in the clip; an empty window is widened to half a second, but not beyond the clip."""
+    end = F.least(clip_end, at + (seconds or 0.0))
+    return window(at, F.when(end <= at, F.least(clip_end, at + least)).otherwise(end))
 
 
 def observed(at: Column, clip_start: Column, seconds: float) -> Column:
@@ -69,3 +70,20 @@ def trimmed_indices(n_frames: Column, n: int, trim: float = 0.05) -> Column:
     """Evenly spaced frame numbers without the ends."""
     low, high = (n_frames * F.lit(trim)).cast("long"), (n_frames * F.lit(1 - trim)).cast("long")
     return F.transform(uniform_times(low.cast("double"), high.cast("double"), n), lambda x: x.cast("long"))
+
+
+def preview_indices(n_frames: Column, n: int = 5) -> Column:
+    """Evenly spaced frame numbers from 10 to 90 per cent."""
+    total = n_frames.cast("double")
+    return F.transform(uniform_times(total * 0.1, total * 0.9, n), lambda x: x.cast("long"))
+
+
+def sample_positions(n_frames: Column) -> Column:
+    """The frames at 10, 50 and 90 per cent, for looking at by hand."""
+    return F.array(*[(n_frames * F.lit(p)).cast("long") for p in (0.1, 0.5, 0.9)])
+
+
+def frames_at(times: Column, fps: Column, n_frames: Column) -> Column:
+    """Numbers of the frames at ``times``, ties to even; inside the file where its length is known (above 0)."""
+    inside = lambda i: F.when(n_frames > 0, F.least(F.greatest(i, F.lit(0).cast("long")), n_frames.cast("long") - 1)).otherwise(i)
+    return F.transform(times, lambda t: inside(F.bround(t * fps, 0).cast("long")))

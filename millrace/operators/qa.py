@@ -16,6 +16,7 @@ WAIT_TARGET = "<WAIT> Not enough information yet. More video is needed."
 DUAL_WAIT_TARGET = "<WAIT> Not enough information to answer yet. More video is needed."
 ANSWER_PREFIX = "<ANSWER> "
 STREAMING_TYPES = ("sonographer_intent", "next_action")
+REQUIRED = ("question", "answer", "answer_time")
 
 
 def anchors(clips: DataFrame, ratios: tuple[float, ...] = RATIOS, seen: float | None = SEEN_SECONDS, future: float | None = None) -> DataFrame:
@@ -26,18 +27,22 @@ def anchors(clips: DataFrame, ratios: tuple[float, ...] = RATIOS, seen: float |
     return rows.withColumn("kept", F.col("future.end") - F.col("future.start") >= MIN_FUTURE_SECONDS)
 
 
-def reject_reason(types: tuple[str, ...] = STREAMING_TYPES) -> Column:
+def reject_reason(types: tuple[str, ...] = STREAMING_TYPES, keys: Column | None = None) -> Column:
     """Why a generated row (``entry`` struct of texts, ``skip``, ``query_time``, ``clip_end``) falls out; null if it stays.
 
-    The first rule that fails names the reason.  A time that is NaN is rejected.
+    The first rule that fails names the reason.  A time that is NaN is rejected.  ``keys`` tells which keys the row
+    had, as a missing one differs from one without a value.
     """
     e = F.col("entry")
+    lacks = [F.coalesce(~F.array_contains(keys, k), F.lit(False)) if keys is not None else F.lit(False) for k in REQUIRED]
+    missing = F.when(lacks[0], REQUIRED[0]).when(lacks[1], REQUIRED[1]).when(lacks[2], REQUIRED[2])
     blank = lambda x: strip(F.coalesce(x, F.lit(""))) == ""
     at = e["answer_time"].try_cast("double")
     return (
         F.when(e.isNull(), "not a dict")
         .when(F.coalesce(e["skip"], F.lit(False)), "model-skipped")
         .when(~F.coalesce(e["type"].isin(*types), F.lit(False)), "unknown type")
+        .when(missing.isNotNull(), F.concat(F.lit("missing key: "), missing))
         .when(blank(e["question"]) | blank(e["answer"]), "empty question or answer")
         .when(at.isNull() | F.isnan(at), "answer_time not a float")
         .when(at <= F.col("query_time"), "not after query")

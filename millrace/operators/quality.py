@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Frame types and decisions as the frame model names them.
 IMAGE_TYPES, LECTURE_TYPES = ("超声画面", "医学影像"), ("讲课画面", "PPT幻灯片")
-KEEP, TRIM, DISCARD, NO_MODALITY = "保留", "需要裁剪", "丢弃", "无"
+KEEP, TRIM, DISCARD, FAILED, NO_MODALITY = "保留", "需要裁剪", "丢弃", "错误", "无"
 
 
 def video_means(frames: DataFrame) -> DataFrame:
@@ -96,7 +96,23 @@ def ring(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], size: i
     return rows.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= size).drop("_k")
 
 
-def throughput(rows: DataFrame, duration: str, took: str) -> DataFrame:
-    """Total seconds handled and taken, and their ratio."""
-    out = rows.agg(F.count("*").alias("files"), F.sum(duration).alias("seconds"), F.sum(took).alias("took"))
+def throughput(rows: DataFrame, duration: str, took: str, *keys: str) -> DataFrame:
+    """Total seconds handled and taken, and their ratio, over all rows or by ``keys``."""
+    out = rows.groupBy(*keys).agg(F.count("*").alias("files"), F.sum(duration).alias("seconds"), F.sum(took).alias("took"))
     return out.withColumn("realtime_factor", F.try_divide(F.col("seconds").cast("double"), F.col("took")))
+
+
+def at_least(videos: DataFrame, least: float, score: str = "score") -> DataFrame:
+    """The videos that are good enough."""
+    return videos.where(F.col(score) >= least)
+
+
+def chosen(videos: DataFrame, *decided: str, decision: str = "decision") -> DataFrame:
+    """The videos with one of the decisions."""
+    return videos.where(F.col(decision).isin(*decided))
+
+
+def decision_counts(videos: DataFrame, decision: str = "decision") -> DataFrame:
+    """One row: all videos, and how many were kept, trimmed, discarded and failed."""
+    of = lambda d, name: F.count_if(F.coalesce(F.col(decision) == d, F.lit(False))).alias(name)
+    return videos.agg(F.count("*").alias("total"), of(KEEP, "keep"), of(TRIM, "trim"), of(DISCARD, "discard"), of(FAILED, "errors"))

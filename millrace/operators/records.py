@@ -121,3 +121,43 @@ def first_words(text: Column, ratio: Column) -> Column:
 def shortened(text: Column, n: int, mark: str = "") -> Column:
     """The first ``n`` signs, and a mark where some were cut."""
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit(mark))).otherwise(text)
+
+
+def dual_prompt(video: Column, clip_idx: Column, start: Column, end: Column, topic: Column, speech: Column, seconds: float = 30.0, fps: int = 1, frames: int = 32) -> Column:
+    """What a model is told for an offline and a streaming row of one clip."""
+    time = lambda x: F.format_string("%.2fs", x.cast("double"))
+    said = F.when(strip(F.coalesce(speech, F.lit(""))) != "", strip(speech)).otherwise("(no speech)")
+    line = lambda name, x: F.concat(F.lit(f"{name}: "), x)
+    return F.concat_ws(
+        "\n", line("Video", video), line("Clip", clip_idx.cast("string")), line("From", time(start)), line("To", time(end)), line("Topic", F.coalesce(topic, F.lit(""))),
+        F.lit(f"Window: {seconds:g} s at {fps} frames a second, {frames} frames at most"), line("Speech", said),
+        F.lit("Answer as a JSON object with offline_qa (qa_type, question, answer, evidence) and streaming_qa (qa_type, question_time, answer_time, answerable_at_question_time, question, answer, evidence)."),
+    )
+
+
+def words_before(words: DataFrame, asks: DataFrame) -> DataFrame:
+    """For each ask ``(video, at)`` how many words of ``(video, start, text)`` came before it, and those new since the ask before.
+
+    One pass in time order: an ask reads on where the last one stopped, as a cursor would.
+    """
+    none = F.lit(None).cast("string")
+    said = words.select("video", F.col("start").cast("double").alias("t"), F.lit(1).alias("kind"), F.col("text"))
+    asked = asks.select("video", F.col("at").cast("double").alias("t"), F.lit(0).alias("kind"), none.alias("text"))
+    order = Window.partitionBy("video").orderBy("t", "kind")
+    rows = said.unionByName(asked)
+    cursor = F.count_if(F.col("kind") == 1).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    turn = F.count_if(F.col("kind") == 0).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.when(F.col("kind") == 0, 1).otherwise(0)
+    rows = rows.withColumns({"cursor": cursor, "turn": turn})
+    new = rows.where("kind = 1").groupBy("video", "turn").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t", "text"))), lambda w: w["text"]), " ").alias("new_text"))
+    out = rows.where("kind = 0").select("video", F.col("t").alias("at"), "cursor", "turn").join(new, ["video", "turn"], "left")
+    return out.select("video", "at", "cursor", F.coalesce("new_text", F.lit("")).alias("new_text"))
+
+
+def written(rows: DataFrame, *dropped: str) -> DataFrame:
+    """Rows as they are written: without what only the run needed (a raw text, usage, temporary columns)."""
+    return rows.drop(*dropped)
+
+
+def first_rows(rows: DataFrame, n: int | None, *order: str) -> DataFrame:
+    """The first rows in an explicit order; all without a number."""
+    return rows.orderBy(*order) if n is None else rows.orderBy(*order).limit(n)

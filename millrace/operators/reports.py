@@ -26,11 +26,15 @@ def mode_comparison(runs: DataFrame) -> DataFrame:
     return out.crossJoin(F.broadcast(out.agg(F.min("seconds").alias("_least")))).withColumn("times_fastest", F.try_divide(F.col("seconds"), F.col("_least"))).drop("_least")
 
 
-def score_report(videos: DataFrame) -> DataFrame:
-    """All videos by falling score in one row, with a count a class."""
-    rows = F.sort_array(F.collect_list(F.struct("score", "video", "category")), asc=False)
+def score_counts(videos: DataFrame) -> DataFrame:
+    """One row: all videos, and how many are of each class."""
     counts = [F.count_if(F.col("category") == c).alias(c) for c in ("pure", "mildly_annotated", "heavily_annotated", "rejected")]
-    return videos.agg(F.count("*").alias("n"), *counts, rows.alias("videos"))
+    return videos.agg(F.count("*").alias("n"), *counts)
+
+
+def score_report(videos: DataFrame) -> DataFrame:
+    """All videos by falling score, a row each; written in this order they are the report's list."""
+    return videos.orderBy(F.desc("score"), "video")
 
 
 def as_they_come(stream: DataFrame, write: Callable[[DataFrame], None], checkpoint: str, once: bool = True):
@@ -57,3 +61,10 @@ def merged_words(rows: DataFrame, low: float = 1.0, high: float = 4.0) -> DataFr
 def loss_band(rows: DataFrame, low: float = 1.5, high: float = 6.5) -> DataFrame:
     """Rows whose language-model loss (an input) lies in the band."""
     return rows.where((F.col("loss") >= low) & (F.col("loss") <= high))
+
+
+def summary_lines(counts: DataFrame, label: str, n: str = "n") -> DataFrame:
+    """What a console shows of counts: ``label: n (share)``, most frequent first."""
+    whole = counts.agg(F.sum(n).alias("_whole"))
+    line = F.concat(F.coalesce(F.col(label).cast("string"), F.lit("none")), F.lit(": "), F.col(n).cast("string"), F.lit(" ("), percent(F.try_divide(F.col(n), F.col("_whole"))), F.lit(")"))
+    return counts.crossJoin(F.broadcast(whole)).select(line.alias("line"), F.col(n).alias("n")).orderBy(F.desc("n"), "line")

@@ -74,10 +74,15 @@ def capped(segments: DataFrame, min_len: float = 30.0, max_len: float = 240.0, g
 def nearest_cuts(segments: DataFrame, changes: DataFrame, tolerance: float = 10.0) -> DataFrame:
     """``(video, ord)`` of the sentence end closest to each change time, within the tolerance; the earliest wins ties.
 
-    An equi-join on the video with the range as its residual.
+    An equi-join on video and time bucket, so a long video spreads over tasks; a change looks into the
+    buckets that its tolerance reaches.
     """
-    ends = segments.where(ends_sentence(F.col("text"))).select("video", "ord", "end")
-    near = changes.select("video", F.col("time").alias("at")).distinct().join(ends, "video").withColumn("off", F.abs(F.col("end") - F.col("at"))).where(F.col("off") <= tolerance)
+    width = max(float(tolerance), 1e-3)
+    bucket = lambda x: F.floor(x / F.lit(width)).cast("long")
+    ends = segments.where(ends_sentence(F.col("text"))).select("video", "ord", "end", bucket(F.col("end")).alias("b"))
+    at = changes.select("video", F.col("time").alias("at")).distinct()
+    asked = at.withColumn("b", F.explode(F.sequence(bucket(F.col("at") - tolerance), bucket(F.col("at") + tolerance))))
+    near = asked.join(ends, ["video", "b"]).withColumn("off", F.abs(F.col("end") - F.col("at"))).where(F.col("off") <= tolerance)
     return near.groupBy("video", "at").agg(F.min_by("ord", F.struct("off", "ord")).alias("ord")).select("video", "ord").distinct()
 
 
@@ -148,12 +153,17 @@ def by_cuts(segments: DataFrame, cuts: DataFrame, last_topic: str = "", min_len:
     return numbered(kept.select("video", "start", "end", "n", reason.alias("reason"), F.when(F.col("has"), F.col("topic")).otherwise("full_video").alias("topic")))
 
 
-def sliced(segments: DataFrame, clips: DataFrame) -> DataFrame:
-    """Each clip's text: segments whose midpoint lies in it, both ends included (a boundary serves two clips)."""
-    middle = (F.col("s.start") + F.col("s.end")) / 2
-    met = clips.alias("c").join(segments.alias("s"), (F.col("c.video") == F.col("s.video")) & (middle >= F.col("c.start")) & (middle <= F.col("c.end")))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s.ord", "s.text"))), lambda x: x["text"]), " ")
-    return met.groupBy(F.col("c.video").alias("video"), F.col("c.clip_idx").alias("clip_idx")).agg(text.alias("text"), F.count("*").alias("n"))
+def sliced(segments: DataFrame, clips: DataFrame, bucket: float = 600.0) -> DataFrame:
+    """Each clip's text: segments whose midpoint lies in it, both ends included (a boundary serves two clips).
+
+    An equi-join on video and time bucket: a clip stands in each bucket that it reaches into, a segment in one.
+    """
+    of = lambda x: F.floor(x / F.lit(float(bucket))).cast("long")
+    said = segments.select("video", "ord", "text", ((F.col("start") + F.col("end")) / 2).alias("middle")).withColumn("b", of(F.col("middle")))
+    asked = clips.select("video", "clip_idx", "start", "end").where(F.col("end") >= F.col("start")).withColumn("b", F.explode(F.sequence(of(F.col("start")), of(F.col("end")))))
+    met = asked.join(said, ["video", "b"]).where((F.col("middle") >= F.col("start")) & (F.col("middle") <= F.col("end")))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), " ")
+    return met.groupBy("video", "clip_idx").agg(text.alias("text"), F.count("*").alias("n"))
 
 
 def contained(segments: DataFrame, clips: DataFrame) -> DataFrame:

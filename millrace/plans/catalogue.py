@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +29,7 @@ SQL["model_stub"] = """SELECT doc_id, CASE WHEN length(text) > 500 THEN 'ANSWER'
 def roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as JSON lines and as CSV and read again: the digests of their texts."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    root = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='millrace-')}/roundtrip-{uuid.uuid4().hex}"
+    root = files.scratch(spark, "roundtrip")
     files.write_lines(docs, f"{root}/lines")
     files.write_csv(docs, f"{root}/csv")
     lines = files.json_lines(spark, f"{root}/lines", docs.schema)

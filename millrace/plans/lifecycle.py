@@ -46,6 +46,11 @@ class Knobs:
     keep_failed: bool = False
 
 
+def _name(model: Callable) -> str:
+    """What tells models apart: a name that the maker carries, else where it was defined."""
+    return str(getattr(model, "model", None) or f"{model.__module__}.{model.__qualname__}:{getattr(getattr(model, '__code__', None), 'co_names', '')}")
+
+
 def _cap(seconds: float | None) -> float | None:
     return seconds if seconds and seconds > 0 else None
 
@@ -99,7 +104,7 @@ def streaming_rows(said: DataFrame, knobs: Knobs = Knobs()) -> DataFrame:
     listed = said.withColumn("list", F.from_json(jsonrepair.repaired(F.col("response"), jsonrepair.STREAMING), "array<string>"))
     each = listed.where("list IS NULL OR size(list) > 0").select("*", F.posexplode_outer("list").alias("pos", "raw"))
     each = each.withColumns({"entry": F.when(F.col("raw").rlike(r"^\s*\{"), F.from_json("raw", ENTRY)), "clip_end": F.col("end")})
-    reason = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("list").isNull(), "parse_failure").otherwise(qa.reject_reason(knobs.types))
+    reason = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("list").isNull(), "parse_failure").otherwise(qa.reject_reason(knobs.types, F.json_object_keys("raw")))
     own = F.col("entry.query_time").try_cast("double")
     asked = F.round(F.when(F.isnan(own), None).otherwise(own), 2)
     return each.select(
@@ -135,19 +140,24 @@ def qa_run(clips: DataFrame, offline: Callable[[], ports.ModelPort] | None, stre
     """From ``clips`` (``video, clip_idx, start, end, topic, text``) to records and training samples.
 
     A stage without a model is skipped: no rows of that kind, or no validation.  Returns ``offline,
-    streaming, drop_log, validated, stats, rows`` (merged) and ``samples``.
+    streaming, drop_log, validated, stats, rows`` (merged) and ``samples``.  What models said is asked anew where
+    knobs, models (by name) or input rows are others than those of the stored tables.
     """
     spark = clips.sparkSession
-    table_of = lambda name, make: files.stored(spark, f"{root}/{name}", make)
+    inputs, settings = files.contents(clips), {k: str(v) for k, v in vars(knobs).items() if k not in ("window", "keep_failed")}
+
+    def table_of(name: str, make: Callable[[], DataFrame], model: Callable, rows: str = inputs) -> DataFrame:
+        return files.stored(spark, f"{root}/{name}", make, acquire.signature({"stage": name, "model": _name(model), "rows": rows, **settings}))
+
     none = clips.limit(0).withColumns({"response": F.lit(None).cast("string"), "error": F.lit(None).cast("string")})
-    off = offline_rows(none if offline is None else table_of("offline", lambda: ask_offline(clips, offline, knobs)))
-    on = streaming_rows(none.withColumns({"ratio": F.lit(0.0), "query_time": F.lit(0.0)}) if streaming is None else table_of("streaming", lambda: ask_streaming(clips, streaming, knobs)), knobs)
+    off = offline_rows(none if offline is None else table_of("offline", lambda: ask_offline(clips, offline, knobs), offline))
+    on = streaming_rows(none.withColumns({"ratio": F.lit(0.0), "query_time": F.lit(0.0)}) if streaming is None else table_of("streaming", lambda: ask_streaming(clips, streaming, knobs), streaming), knobs)
     where = ["video", "clip_idx", "reason"]
     drops = off.where("reason IS NOT NULL").select(*where, F.lit("offline").alias("kind")).unionByName(on.where("reason IS NOT NULL").select(*where, F.lit("streaming").alias("kind")))
     kept_on = on.where("reason IS NULL").drop("reason")
     out = {}
     if validator is not None:
-        checked = judged(table_of("validated", lambda: ask_validator(kept_on, validator, knobs)))
+        checked = judged(table_of("validated", lambda: ask_validator(kept_on, validator, knobs), validator, files.contents(kept_on)))
         out = {"validated": checked, "stats": status_counts(checked)}
         kept_on = checked if knobs.keep_failed else checked.where("status = 'pass'")
     number = lambda *order: F.row_number().over(Window.partitionBy("video").orderBy(*order)) - 1
@@ -187,7 +197,8 @@ def evaluation_run(samples: DataFrame, model: Callable[[], ports.ModelPort], roo
     """
     times = F.array_join(F.transform(windows.policy_times(F.col("sample_type"), F.col("start"), F.col("end"), n_frames), lambda t: F.format_string("%.2f", t)), " ")
     prompt = F.concat_ws("\n", F.concat(F.lit("Frames: "), times), F.concat(F.lit("Question: "), F.col("question")))
-    said = files.stored(samples.sparkSession, f"{root}/predictions", lambda: ports.ask(samples.withColumn("prompt", prompt), "prompt", model, error="error").drop("prompt"))
+    sign = acquire.signature({"model": _name(model), "n_frames": n_frames, "rows": files.contents(samples)})
+    said = files.stored(samples.sparkSession, f"{root}/predictions", lambda: ports.ask(samples.withColumn("prompt", prompt), "prompt", model, error="error").drop("prompt"), sign)
     rows = records.predictions(said, F.col("response")).drop("response")
     failed = F.col("error").isNotNull()
     rows = rows.withColumns({"pred_label": F.when(failed, "ERROR").otherwise(F.col("pred_label")), "correct_answerability": ~failed & F.col("correct_answerability")})

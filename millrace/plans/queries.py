@@ -367,13 +367,7 @@ def log_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type, count(*) AS files, sum(event_id)::BIGINT AS seconds, sum(user_id + 1)::BIGINT AS took, sum(event_id)::DOUBLE / sum(user_id + 1) AS realtime_factor FROM events GROUP BY event_type")
 def throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ratio of sums by type."""
-    e = table(spark, sf_dir, "events").withColumn("took", F.col("user_id") + 1)
-    kinds = [r["event_type"] for r in e.select("event_type").distinct().orderBy("event_type").collect()]  # a handful
-    parts = [quality.throughput(e.where(F.col("event_type") == k), "event_id", "took").withColumn("event_type", F.lit(k)) for k in kinds]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return quality.throughput(table(spark, sf_dir, "events").withColumn("took", F.col("user_id") + 1), "event_id", "took", "event_type")
 
 
 @query("""WITH o AS (SELECT o_orderkey, (o_orderkey % 50)::DOUBLE AS s, (o_orderkey % 50 + o_custkey % 70)::DOUBLE AS e, o_orderpriority = '1-URGENT' AS whole FROM orders),

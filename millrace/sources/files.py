@@ -26,18 +26,59 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder that the cluster names; a local one only where it names none, as in tests."""
+    """A fresh path in the shared folder that the cluster names; a local one only where tests run without a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/millrace/{name}-{uuid.uuid4().hex}"
 
 
-def stored(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table at ``path``, made first unless it is there and whole: a run that is repeated goes on behind its last one."""
-    if not exists(spark, f"{path}/_SUCCESS"):
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file from the driver, put in place by one overwriting rename: readers see the old text or the new one."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    part, where = (jvm.org.apache.hadoop.fs.Path(x) for x in (f"{path}.{uuid.uuid4().hex}.tmp", path))
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), conf)
+    fs = where.getFileSystem(conf)
+    out = fs.create(part, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(context.makeQualified(part), context.makeQualified(where), options)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text; None where there is none."""
+    if not exists(spark, path):
+        return None
+    fs, where = _fs(spark, path)
+    stream = fs.open(where)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def contents(rows: DataFrame) -> str:
+    """What tells two inputs apart: schema, number of rows and the sum of their hashes, whatever their order."""
+    digest = F.sum(F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) for c in rows.columns] or [F.lit(0)]).cast("decimal(38,0)"))
+    n, total = rows.agg(F.count("*"), digest).first()
+    return f"{rows.schema.simpleString()} {n} {total}"
+
+
+def stored(spark: SparkSession, path: str, make: Callable[[], DataFrame], signature: str = "") -> DataFrame:
+    """The table at ``path``, made first unless it is there, whole and of this ``signature``.
+
+    A run that is repeated goes on behind its last one; one with other settings or inputs makes its tables anew.
+    """
+    beside = f"{path}/_signature"
+    if not exists(spark, f"{path}/_SUCCESS") or (read_text(spark, beside) or "") != signature:
         make().write.mode("overwrite").parquet(path)
+        write_text(spark, beside, signature)
     return spark.read.parquet(path)
 
 
@@ -116,21 +157,14 @@ def triples(stream: Column) -> Column:
 
 
 def write_document(rows: DataFrame, path: str, overwrite: bool = False) -> None:
-    """One row as an indented JSON document, put in place by a rename so that readers never see half of it."""
+    """One row as an indented JSON document; a reader, or a run after a crash, finds the old document or the new one."""
     import json
 
     (only,) = rows.limit(2).toJSON().collect()
     spark = rows.sparkSession
-    fs, where = _fs(spark, path)
-    if fs.exists(where) and not overwrite:
+    if not overwrite and exists(spark, path):
         raise FileExistsError(path)
-    part = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + ".tmp")
-    out = fs.create(part, True)
-    out.write(bytearray(json.dumps(json.loads(only), ensure_ascii=False, indent=2).encode()))
-    out.close()
-    fs.delete(where, False)
-    if not fs.rename(part, where):
-        raise OSError(f"can't rename to {path}")
+    write_text(spark, path, json.dumps(json.loads(only), ensure_ascii=False, indent=2))
 
 
 def largest_file(files: DataFrame, key: str) -> DataFrame:
@@ -156,3 +190,10 @@ def row_at(rows: DataFrame, index: int, order: str = "idx") -> DataFrame:
 def by_category(rows: DataFrame, path: str, folder: Column, mode: str = "errorifexists") -> None:
     """One folder a category."""
     rows.withColumn("category_folder", folder).write.mode(mode).partitionBy("category_folder").json(path)
+
+
+def first_existing(spark: SparkSession, *paths: str | None) -> str | None:
+    """The first path that there is: one given, a new one, a legacy one.  A given path counts without a look."""
+    if paths and paths[0] is not None:
+        return paths[0]
+    return next((p for p in paths[1:] if p is not None and exists(spark, p)), None)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -28,11 +28,22 @@ def sliding(events: DataFrame, length: str, slide: str, delay: str, time: str =
 STATUS_ORDER = ("queued", "running", "completed", "failed")
 
 
-def job_status(log: DataFrame) -> DataFrame:
-    """The latest status of each job in an event log (``job, at, status, line``) and its last 600 log lines."""
-    last = F.max_by("status", F.struct("at", "ord")).alias("status")
-    lines = F.array_sort(F.collect_list(F.struct("at", "ord", "line")))
-    return log.groupBy("job").agg(last, F.max("at").alias("updated_at"), F.transform(F.slice(lines, -F.least(F.size(lines), F.lit(600)), F.lit(600)), lambda x: x["line"]).alias("logs"))
+def job_status(log: DataFrame, size: int = 600) -> DataFrame:
+    """The latest status of each job in an event log (``job, at, ord, status, line``) and its last ``size`` log lines.
+
+    Lines are ranked before they are gathered, so a job's whole log never meets.
+    """
+    last = log.groupBy("job").agg(F.max_by("status", F.struct("at", "ord")).alias("status"), F.max("at").alias("updated_at"))
+    newest = Window.partitionBy("job").orderBy(F.desc("at"), F.desc("ord"))
+    few = log.withColumn("_k", F.row_number().over(newest)).where(F.col("_k") <= size)
+    lines = few.groupBy("job").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "ord", "line"))), lambda x: x["line"]).alias("logs"))
+    return last.join(lines, "job")
+
+
+def running_accuracy(predictions: DataFrame) -> DataFrame:
+    """How many predictions of each label there are so far, and the share that is right; a stream's complete result."""
+    right = F.count_if(F.coalesce("correct_answerability", F.lit(False)))
+    return predictions.groupBy("pred_label").agg(F.count("*").alias("n"), right.alias("correct"))
 
 
 ANSWERED = "question string, answered_at double, waits long"

@@ -73,8 +73,10 @@ def test_reports(spark, tmp_path):
     modes = spark.createDataFrame([("frames", 2.0, 5), ("video", 6.0, None)], "mode string, seconds double, tokens long")
     assert {r["mode"]: (r["tokens"], r["times_fastest"]) for r in reports.mode_comparison(modes).collect()} == {"frames": (5, 1.0), "video": (0, 3.0)}
     videos = spark.createDataFrame([("v", 80.0, "pure"), ("w", 20.0, "rejected"), ("x", 90.0, "pure")], "video string, score double, category string")
-    r = reports.score_report(videos).first()
-    assert [v["video"] for v in r["videos"]] == ["x", "v", "w"] and (r["pure"], r["rejected"]) == (2, 1)
+    assert [r["video"] for r in reports.score_report(videos).collect()] == ["x", "v", "w"]
+    assert tuple(reports.score_counts(videos).first()) == (3, 2, 0, 0, 1)
+    counts = spark.createDataFrame([("a", 1), (None, 3)], "k string, n long")
+    assert [r["line"] for r in reports.summary_lines(counts, "k").collect()] == ["none: 3 (75.0%)", "a: 1 (25.0%)"]
     assert spark.range(1).select(reports.percent(F.lit(0.125))).first()[0] == "12.5%"
     words = spark.createDataFrame([(10, 5.0), (100, 5.0), (1, 0.0)], "n_words int, duration double")
     assert reports.merged_words(words).count() == 1
@@ -106,7 +108,7 @@ def test_chunks(spark):
 
 def test_small_functions(spark):
     df = spark.createDataFrame([('x {"a": 1} y {"b": {}}',), ("none",)], "t string")
-    assert [r[0] for r in df.select(jsonrepair.frame_answer(F.col("t"))).collect()] == ['{"a": 1}', '{"帧类型": "解析失败"}']
+    assert [r[0] for r in df.select(jsonrepair.frame_answer(F.col("t"))).collect()] == ['{"a": 1}', '{"帧类型":"解析失败","原始输出":"none"}']
     one = spark.range(1).select(T.local_time(F.lit(0)), T.local_time(F.lit(86400)), T.recommendation(F.lit("mixed")), T.recommendation(F.lit("x")), T.now_tag(F.timestamp_seconds(F.lit(0)))).first()
     assert tuple(one) == ("", "1970-01-02T00:00:00", "trim", None, "19700101_000000")
 
