@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import labels
 from ..sources import files, ports
 from ..sources.tables import table
-from . import lifecycle, queries, segmentation
+from . import coverage, lifecycle, queries, segmentation
 
-MODULES = (queries, segmentation, lifecycle)
+MODULES = (queries, segmentation, lifecycle, coverage)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
 
