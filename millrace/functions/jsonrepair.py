@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .binding import let
-from .text import strict_true
+from .text import strict_true, strip
 
 # The three checks of a validated row.
 CHECKS = ("question_no_leak", "not_answerable_at_query_time", "answerable_at_answer_time")
@@ -63,7 +63,7 @@ def repaired(text: Column, ladder: Ladder) -> Column:
     fenced = valid(some(rf"(?s)```{tag}\s*({low}.+?{high})\s*```", 1)) if ladder.fence else F.lit(None).cast("string")
     span = valid(some(rf"(?s)({low}.*{'' if ladder.greedy else '?'}{high})", 1))
     if ladder.loose:
-        inside = lambda pattern: valid(F.trim(some(pattern, 1)))
+        inside = lambda pattern: valid(strip(some(pattern, 1)))
         fenced = F.coalesce(inside(r"(?s)```json\s*(.+?)```"), inside(r"(?s)```\s*(.+?)```"))
     if ladder.either:
         span = F.coalesce(valid(some(r"(?s)[\{\[].*[\}\]]", 0)), valid(some(r"\{[^{}]*\}", 0)))
