@@ -128,12 +128,11 @@ def forest(key: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.n
     for b, n in zip(begin[length > SMALL], length[length > SMALL], strict=True):
         rows = max(1, 4_000_000 // int(n))
         for r in range(b, b + n, rows):
-            left = np.arange(r, min(r + rows, b + n))
-            x = fp[left][:, None] ^ fp[b : b + n][None, :]
-            i, j = np.nonzero(np.bitwise_count(x) <= bits)  # implies the shared count
-            i, j = left[i], b + j
-            up = i < j
-            _hook(parent, i[up], j[up])
+            left, right = (x.ravel() for x in np.meshgrid(np.arange(r, min(r + rows, b + n)), np.arange(b, b + n), indexing="ij"))
+            up = left < right
+            left, right = left[up], right[up]
+            ok = linked(fp, left, right, bits)
+            _hook(parent, left[ok], right[ok])
     root = _root(parent, np.arange(len(fp)))
     child = np.flatnonzero(root != np.arange(len(fp)))
     return fp[child].view(np.int64), fp[root[child]].view(np.int64)
