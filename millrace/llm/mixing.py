@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table, require
+from .common import free_names, materialize, read_table, require
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -62,28 +62,28 @@ def ranked_weights(sizes: DataFrame, cycle: int = 3) -> DataFrame:
     return ranked.withColumn("weight", ((F.col("before") + F.col("rank") - 1) % cycle + 1).cast("long")).drop("part", "rank", "before")
 
 
-def mix(docs: DataFrame, max_epochs: float = 3.0, seed: int = 7, slice_rows: int = 2_000, size: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
-    """``(doc_id, size, source_size, target, taken)`` for each row of ``docs``, and its ``carry`` columns.
+def _order(text: Column, row_id: Column, seed: int) -> Column:
+    """The seeded place of a row: a hash of its id and text."""
+    content = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(row_id.cast("string"), F.lit("")), content).cast("binary"))
 
-    ``taken`` counts words with repeats, at most ``max_epochs`` times ``size``.  Reruns agree: the order is
-    a seeded hash of id and text.
 
-    Null text counts as 0 words; a document without words takes 0.  A null source is a source of its own,
-    last in order.  Null ids and repeated rows stay, one result a row; equal rows are interchangeable.
-    An empty table gives no rows.  Other columns are ignored, whatever their names.
+def _dealt(docs: DataFrame, max_epochs: float, seed: int, slice_rows: int | None, size: Column | None, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """``(doc_id, source, size, ord, source_size, target, whole, extra)``: repeats in whole, and words taken once more.
+
+    A source's order is cut into slices, about as many as a slice has rows, so neither a slice's running sum nor the
+    one over slices gathers more than the square root of a source.
     """
-    require(docs, id_col, text_col, source_col, *carry)
     text = F.col(text_col)
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")).cast("binary"))).cast("binary"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), (n_words(text) if size is None else size).alias("size"), order.alias("ord"), *[F.col(c).alias(f"_{c}") for c in carry])
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), (n_words(text) if size is None else size).alias("size"), _order(text, F.col(id_col), seed).alias("ord"))
     rows = materialize(rows, "sizes")
-    counts = rows.groupBy(F.col("source").alias("of")).agg(F.ceil(F.count("*") / slice_rows).cast("long").alias("slices"))
+    slices = F.ceil(F.sqrt(F.count("*"))) if slice_rows is None else F.ceil(F.count("*") / slice_rows)
+    counts = rows.groupBy(F.col("source").alias("of")).agg(slices.cast("long").alias("slices"))
     rows = rows.join(materialize(counts, "counts"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     slice_of = F.floor(F.conv(F.substring("ord", 1, 8), 16, 10).cast("long") * F.col("slices") / F.lit(float(1 << 32))).cast("long")
     rows = rows.withColumn("slice", slice_of).drop("slices")
     sums = materialize(rows.groupBy("source", "slice").agg(F.sum("size").alias("slice_size")), "slices")
     targets = water_fill(ranked_weights(sums.groupBy("source").agg(F.sum("slice_size").alias("source_size"))), max_epochs)
-    # a row a source and slice: one for every ``slice_rows`` documents
     begins = sums.withColumn("begin", F.sum("slice_size").over(Window.partitionBy("source").orderBy("slice")) - F.col("slice_size"))
     plan = begins.join(targets, begins["source"].eqNullSafe(targets["source"])).select(begins["source"], "slice", "begin", "source_size", "target", "weight")
     plan = materialize(plan, "plan")
@@ -91,23 +91,55 @@ def mix(docs: DataFrame, max_epochs: float = 3.0, seed: int = 7, slice_rows: int
     running = Window.partitionBy("source", "slice").orderBy("ord", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     words = F.round("target").cast("long")
     whole = F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size")).cast("long")).otherwise(0)
-    extra = words - whole * F.col("source_size")
     start = F.col("begin") + F.sum("size").over(running) - F.col("size")
-    taken = whole * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), extra - start))
-    return dealt.select("doc_id", "size", "source_size", "target", taken.alias("taken"), *[F.col(f"_{c}").alias(c) for c in carry])
+    dealt = dealt.withColumns({"whole": whole, "start": start})
+    extra = F.greatest(F.lit(0), F.least(F.col("size"), words - F.col("whole") * F.col("source_size") - F.col("start")))
+    return dealt.withColumn("extra", extra).drop("slice", "begin", "start")
+
+
+def mix(docs: DataFrame, max_epochs: float = 3.0, seed: int = 7, slice_rows: int | None = None, size: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``(doc_id, size, source_size, target, taken)`` for each row of ``docs``.
+
+    ``taken`` counts words with repeats, at most ``max_epochs`` times ``size``.  Reruns agree: the order is
+    a seeded hash of id and text.
+
+    Null text counts as 0 words; a document without words takes 0.  A null source is a source of its own,
+    last in order.  Null ids and repeated rows stay, one result a row; equal rows are interchangeable.
+    An empty table gives no rows.  Other columns are ignored, whatever their names.
+    """
+    require(docs, id_col, text_col, source_col)
+    dealt = _dealt(docs, max_epochs, seed, slice_rows, size, id_col, text_col, source_col)
+    return dealt.select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("extra")).alias("taken"))
 
 
 def repeated(docs: DataFrame, max_epochs: float = 3.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken, with all its columns.
+    """The mix itself: each row of ``docs`` as often as it is taken, with all its columns, whatever their names.
 
     The one document of a source that is taken in part is repeated once more if half of it or more is.
     A document without words is repeated as often as its source is in whole.
+
+    Texts aren't shuffled: a source's last place that is taken once more, a row a source, decides for every
+    row by itself.  Only rows that share that place (equal rows, usually one) are ranked.
     """
-    taken = mix(docs.withColumn("_row", F.struct(*docs.columns)), max_epochs, seed, id_col=id_col, text_col=text_col, source_col=source_col, carry=("_row",))
-    whole = F.when(F.col("source_size") > 0, F.floor(F.round("target").cast("long") / F.col("source_size")).cast("int")).otherwise(0)
-    part = F.col("taken") - whole * F.col("size")
-    times = whole + ((F.col("size") > 0) & (2 * part >= F.col("size"))).cast("int")
-    return taken.withColumn("_time", F.explode(F.array_repeat(F.lit(0), times))).select("_row.*")
+    require(docs, id_col, text_col, source_col)
+    dealt = _dealt(docs, max_epochs, seed, None, None, id_col, text_col, source_col)
+    more = (F.col("size") > 0) & (2 * F.col("extra") >= F.col("size"))
+    ends = dealt.groupBy("source", "ord").agg(F.max("whole").alias("whole"), F.count("*").alias("n"), F.count_if(more).alias("m"), F.max(F.when(more, F.col("ord"))).alias("end"))
+    bounds = ends.groupBy(F.col("source").alias("of")).agg(F.max("whole").alias("whole"), F.max(F.struct("end", "n", "m")).alias("end"))
+    source, place, row, of, whole, end, n, m, rank = free_names(docs, 9)
+    bounds = materialize(bounds.select(F.col("of").alias(of), F.col("whole").cast("int").alias(whole), F.col("end.end").alias(end), F.col("end.n").alias(n), F.col("end.m").alias(m)), "bounds")
+    keyed = docs.withColumns({source: F.col(source_col), place: _order(F.col(text_col), F.col(id_col), seed)})
+    met = keyed.join(bounds, F.col(source).eqNullSafe(F.col(of)))
+    some = F.coalesce(F.col(text_col).rlike(WORD), F.lit(False))
+    at_end = F.coalesce(F.col(place) == F.col(end), F.lit(False))
+    before = some & F.coalesce(F.col(place) <= F.col(end), F.lit(False))
+    tied = at_end & (F.col(m) < F.col(n))  # some of equal rows
+    times = lambda once: F.explode(F.array_repeat(F.lit(0), F.col(whole) + once.cast("int")))
+    out = met.where(~tied).withColumn(row, times(before)).select(*docs.columns)
+    if bounds.where(F.col(m) < F.col(n)).isEmpty():
+        return out
+    ranked = met.where(tied).withColumn(rank, F.row_number().over(Window.partitionBy(source).orderBy(place)))
+    return out.unionByName(ranked.withColumn(row, times(some & (F.col(rank) <= F.col(m)))).select(*docs.columns))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

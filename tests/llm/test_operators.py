@@ -190,6 +190,21 @@ def test_mixing(docs, none, rows):
     assert all(abs(mixed[s] - want[z]) <= longest / 2 + 1 for s, z in zip(sources, sizes, strict=True))
 
 
+def test_mixing_takes_some_of_equal_rows(spark):
+    """Nine equal rows in one source: as many copies as the target says, within half a document; clashing names stay."""
+    rows = [(1, "a b c d", "s", 1, 2)] * 9 + [(k, "w " * 50, "t", 1, 2) for k in range(2, 6)] + [(9, None, None, 3, 4), (10, " ", "s", 5, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _own_0 int, ord int")
+    taken = mixing.mix(docs).groupBy("source_size").agg(F.sum("taken").alias("t"), F.first("target").alias("g")).collect()
+    assert all(abs(r["t"] - r["g"]) <= 0.5 for r in taken)
+    out = mixing.repeated(docs)
+    assert out.columns == docs.columns
+    words = defaultdict(int)
+    for r in out.collect():
+        words[r["source"]] += len((r["text"] or "").split())
+    target = {36: "s", 200: "t"}
+    assert all(abs(words[target[r["source_size"]]] - r["g"]) <= (2 if r["source_size"] == 36 else 25) + 0.5 for r in taken if r["source_size"])
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(150)] + [(k, k + 1) for k in range(1000, 1060)] + [(7, 7), (None, 3)]
