@@ -26,9 +26,9 @@ def counts_of(text: Column) -> dict[str, Column]:
         "n_words": F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")),
         "n_distinct": F.size(F.array_distinct(F.split(text, " "))),
         "n_upper": F.regexp_count(text, F.lit(r"\p{Lu}")),
-        "n_symbols": F.regexp_count(text, F.lit(r"[^\p{L}\p{N}\s.,!|]")),
+        "n_symbols": F.regexp_count(text, F.lit(r"[^\p{L}\p{N}\s.,]")),
         "n_digits": F.regexp_count(text, F.lit("[0-9]")),
-        "n_pipes": literal("|"), "n_bangs": literal("!!"), "n_lines": literal("\n"),
+        "n_lonely": F.regexp_count(text, F.lit(r"[ \t\n][^\p{L}\p{N}\s][ \t\n]")), "n_runs": F.regexp_count(text, F.lit(r"[^\p{L}\p{N}\s]{2,}")), "n_lines": literal("\n"),
     }
 
 
@@ -36,8 +36,8 @@ def counts_of(text: Column) -> dict[str, Column]:
 CUTS = {
     "upper": ("n_upper", "n_chars", (0.01, 0.03, 0.06, 0.1, 0.2, 0.4, 0.6)),
     "symbols": ("n_symbols", "n_chars", (0.002, 0.01, 0.03, 0.06, 0.1, 0.2, 0.4)),
-    "pipes": ("n_pipes", "n_words", (0.0, 0.05, 0.1, 0.2, 0.4, 0.6, 0.9)),
-    "bangs": ("n_bangs", "n_words", (0.0, 0.05, 0.1, 0.2, 0.4, 0.6, 0.9)),
+    "lonely": ("n_lonely", "n_words", (0.0, 0.05, 0.1, 0.2, 0.4, 0.6, 0.9)),
+    "runs": ("n_runs", "n_words", (0.0, 0.05, 0.1, 0.2, 0.4, 0.6, 0.9)),
     "variety": ("n_distinct", "n_words", (0.05, 0.1, 0.2, 0.35, 0.5, 0.7, 0.9)),
     "word_length": ("n_chars", "n_words", (3.0, 4.0, 5.0, 6.0, 7.0, 9.0, 13.0)),
     "digits": ("n_digits", "n_chars", (0.0, 0.002, 0.01, 0.03, 0.1, 0.2, 0.4)),
@@ -167,8 +167,8 @@ WITH given AS (SELECT doc_id, min(quality)::INT AS label FROM labels WHERE quali
 counts AS (
   SELECT doc_id, source AS host, concat_ws('/', source, lang) AS path, length(t) AS n_chars, len(regexp_extract_all(t, '[^ 	-
 ]+')) AS n_words, len(list_distinct(string_split(t, ' '))) AS n_distinct,
-         len(regexp_extract_all(t, '\p{{Lu}}')) AS n_upper, len(regexp_extract_all(t, '[^\p{{L}}\p{{N}}\s.,!|]')) AS n_symbols, len(regexp_extract_all(t, '[0-9]')) AS n_digits,
-         length(t) - length(replace(t, '|', '')) AS n_pipes, (length(t) - length(replace(t, '!!', ''))) // 2 AS n_bangs, length(t) - length(replace(t, chr(10), '')) AS n_lines
+         len(regexp_extract_all(t, '\p{{Lu}}')) AS n_upper, len(regexp_extract_all(t, '[^\p{{L}}\p{{N}}\s.,]')) AS n_symbols, len(regexp_extract_all(t, '[0-9]')) AS n_digits,
+         len(regexp_extract_all(t, '[ \t\n][^\p{{L}}\p{{N}}\s][ \t\n]')) AS n_lonely, len(regexp_extract_all(t, '[^\p{{L}}\p{{N}}\s]{{2,}}')) AS n_runs, length(t) - length(replace(t, chr(10), '')) AS n_lines
   FROM (SELECT *, coalesce(text, '') AS t FROM documents)),
 styled AS (SELECT doc_id, host, path, label, {_bins_sql()} FROM counts LEFT JOIN given USING (doc_id)),
 long AS (SELECT f, b, label FROM (UNPIVOT (SELECT label, {', '.join(f'{f}::INT AS {f}' for f in FEATURES)} FROM styled WHERE label IS NOT NULL) ON {', '.join(FEATURES)} INTO NAME f VALUE b)),
