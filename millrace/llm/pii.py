@@ -61,7 +61,8 @@ _MORE = rf"(?:(?:{'|'.join(PARTICLES)}) ){{0,2}}{_NAME}(?:-{_NAME})?"
 _GIVEN = f"(?iu:{'|'.join(dict.fromkeys(n for pool in POOLS for n in pool))})"
 _TITLE = f"(?iu:{'|'.join(sorted({*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES} - {'Miss'}, key=lambda t: (-len(t), t)))}|(?-i:M)iss)"  # "miss" is a verb
 _BEFORE_NAME = rf"\b(?=\p{{L}}+\.? (?:\p{{Lu}}|(?:{'|'.join(PARTICLES)}) ))"
-_CUED = rf"(?<=(?iu:{'|'.join(CUES)}) )(?=\p{{Lu}}){_NAME}(?: {_NAME}){{1,2}}|\b(?=\p{{Lu}}\p{{L}}+ \p{{Lu}}){_NAME}(?: {_NAME}){{1,2}}(?=,? (?:{'|'.join(CREDENTIALS)})(?!\p{{L}}))"
+_TWO_NAMES = r"\b(?=\p{Lu}\p{L}+ \p{Lu})"  # asked before what is dear
+_CUED = rf"{_TWO_NAMES}(?:(?<=(?iu:{'|'.join(CUES)}) ){_NAME}(?: {_NAME}){{1,2}}|{_NAME}(?: {_NAME}){{1,2}}(?=,? (?:{'|'.join(CREDENTIALS)})(?!\p{{L}})))"
 KINDS = {
     "email": r"[\p{L}\p{N}._%+\-]+@(?:[\p{L}\p{N}\-]+\.)+\p{L}{2,}",
     "key": r"\bAKIA[0-9A-Z]{16}\b",
