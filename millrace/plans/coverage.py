@@ -452,6 +452,21 @@ def refilled_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return acquire.until_enough(plan, lambda: FakeMedia().search, lambda seeds: seeds, 10, 4).select("id", "ord")
 
 
+@query("""WITH c AS (SELECT c_custkey, [4, 10, 14][c_custkey % 3 + 1] AS s FROM customer)
+SELECT c_custkey, 1.0::DOUBLE AS grayscale, round(1 - s * s / 400.0::DOUBLE, 4) AS black_border, 0.0::DOUBLE AS color, CASE WHEN (s - 1) * (s - 1) > 20 THEN round((s - 1) * (s - 1) / 400.0::DOUBLE, 4) ELSE 0.0 END AS bright, s = 14 AS face FROM c""")
+def frame_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of black frames with a bright square of three sizes."""
+    from ..functions import pixels
+
+    side = F.array(*map(F.lit, (4, 10, 14)))[(F.col("c_custkey") % 3).cast("int")]
+    black, white = lambda n: F.repeat(F.lit("000000"), n), lambda n: F.repeat(F.lit("ffffff"), n)
+    row = F.concat(black(F.lit(2)), white(side), black(18 - side))
+    raw = F.unhex(F.concat(black(F.lit(40)), F.repeat(row, side), black((18 - side) * 20)))
+    found = pixels.frame_row(F.col("raw"), F.lit(20), F.lit(20), lambda grey: bool((grey > 200).sum() > 150))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", raw.alias("raw"))
+    return rows.select("c_custkey", found.alias("f")).select("c_custkey", "f.grayscale", "f.black_border", "f.color", "f.bright", "f.face")
+
+
 # ---- files ----------------------------------------------------------------------------------------
 
 

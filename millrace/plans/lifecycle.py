@@ -31,7 +31,7 @@ AFTER_SECONDS, OFFLINE_SECONDS, SPEECH_CHARS = 10.0, 300.0, 3500
 
 @dataclass(frozen=True)
 class Knobs:
-    """What changes a run's rows.  Caps of 0 or less, or None, are no caps; ``after`` falls back to its default then."""
+    """What changes a run's rows.  Caps of 0 or less, or None, are no caps; an ``after`` of those is half a second."""
 
     ratios: tuple[float, ...] = qa.RATIOS
     types: tuple[str, ...] = qa.STREAMING_TYPES
@@ -118,7 +118,7 @@ def ask_validator(rows: DataFrame, model: Callable[[], ports.ModelPort], knobs:
     """A model's text on each row by what stands before the question, up to the answer and behind it."""
     before = windows.latter(F.col("clip_start"), F.col("query_time"), _cap(knobs.before))
     evidence = windows.earlier(F.col("query_time"), F.col("answer_time"), _cap(knobs.evidence))
-    after = windows.after(F.col("answer_time"), F.col("clip_end"), _cap(knobs.after) or AFTER_SECONDS)
+    after = windows.after(F.col("answer_time"), F.col("clip_end"), _cap(knobs.after))
     task = "Judge the row as a JSON object with checks (" + ", ".join(jsonrepair.CHECKS) + "), verdict and reason."
     prompt = F.concat_ws("\n", F.lit(task), _heading(), _span("Before", before), _span("Evidence", evidence), _span("After", after), F.concat(F.lit("Question: "), F.col("question")), F.concat(F.lit("Answer: "), F.col("answer")))
     return ports.ask(rows.withColumn("prompt", prompt), "prompt", model, error="error").drop("prompt")
