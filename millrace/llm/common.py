@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -22,9 +23,26 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_OPEN: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{scratch_root(spark)}/millrace/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/millrace/{name}-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
+
+
+@contextlib.contextmanager
+def dropped_scratch(spark: SparkSession):
+    """Scratch paths that are given out inside are removed at the end: for work whose result is written elsewhere by then."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            drop_path(spark, path)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -8,7 +8,7 @@ import re
 import pytest
 
 import corpus_pipeline as P
-from millrace.llm import near_dup
+from millrace.llm import common, near_dup
 from tests.llm.test_operators import prose
 
 
@@ -59,3 +59,17 @@ def test_run_is_the_stages_in_order(spark, folder):
         docs = stage(spark, docs, folder)
     key = lambda rows: sorted((r["doc_id"] or -1, r["piece"], r["ids_crc32"]) for r in rows)
     assert key(P.run(spark, folder).collect()) == key(docs.collect())
+
+
+def test_run_leaves_only_its_last_tables(spark, folder, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "scratch_root", lambda spark: f"file://{tmp_path}")
+    assert P.run(spark, folder).count() > 0
+    left = {p.name.rsplit("-", 1)[0] for p in (tmp_path / "millrace").iterdir()}
+    assert left == {"pipeline-mixing", "pieces"}
+
+
+def test_stages_take_an_empty_table(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
+    for _, stage in P.STAGES:
+        docs = stage(spark, docs, folder)
+    assert docs.count() == 0
