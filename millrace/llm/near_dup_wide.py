@@ -95,7 +95,8 @@ def _keys(size: int, n: int) -> Column:
     return F.array(*keys)
 
 
-STEP = 1_000_000
+#: Pairs that are compared at once, by first bits and by whole fingerprints: what a task's arrays hold.
+STEP, TALLIED = 500_000, 200_000
 
 
 def may_be(left: np.ndarray, right: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -221,7 +222,7 @@ def _verified(batches):
         sets = [np.unique(np.frombuffer(x, "<u4")) for x in table.column("set").to_pylist()]
         size, parent = np.array([len(x) for x in sets]), np.arange(len(node))
         for b, n in zip(begin, np.diff(np.r_[begin, len(node)]), strict=True):
-            columns, step = np.arange(b, b + n), max(1, min(512, STEP // int(n)))
+            columns, step = np.arange(b, b + n), max(1, min(512, TALLIED // int(n)))
             for r in range(b, b + n, step):
                 rows = np.arange(r, min(r + step, b + n))
                 left, right = (x.ravel() for x in np.meshgrid(rows, columns, indexing="ij"))
