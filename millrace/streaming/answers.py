@@ -16,8 +16,14 @@ def ask_again(rows: DataFrame, step: int = 5) -> DataFrame:
 
 
 def sessions(events: DataFrame, gap: str, delay: str, time: str = "ts", key: str = "user_id") -> DataFrame:
-    """Sessions of a stream (or table) of events: closed ``gap`` after the last event, late ones dropped after ``delay``."""
-    return events.withWatermark(time, delay).groupBy(F.session_window(time, gap), key).agg(F.count("*").alias("n")).select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
+    """Sessions of a stream (or table) of events: closed ``gap`` after the last event, late ones dropped after ``delay``.
+
+    An event just ``gap`` after the last one begins a session.  Spark's windows would join where they touch, so they end
+    a microsecond (the least step of a timestamp) early, which ``end`` gets back.
+    """
+    window = F.session_window(time, f"{gap} -1 microseconds")
+    end = F.col("session_window.end") + F.expr("interval 1 microsecond")
+    return events.withWatermark(time, delay).groupBy(window, key).agg(F.count("*").alias("n")).select(key, F.col("session_window.start").alias("start"), end.alias("end"), "n")
 
 
 def sliding(events: DataFrame, length: str, slide: str, delay: str, time: str = "ts", *keys: str) -> DataFrame:

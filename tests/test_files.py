@@ -86,6 +86,21 @@ def test_stream_of_sessions(spark, tmp_path):
     assert answers.sliding(events, "10 minutes", "5 minutes", "1 minute", "ts", "user_id").count() > 6
 
 
+def test_an_event_at_the_gap_begins_a_session(spark, tmp_path):
+    """Half an hour after the last event and a microsecond before it, as a batch and as a stream."""
+    gap, at = 1_800_000_000, 1_704_579_374_000_000
+    rows = [(1, at), (1, at + gap), (2, at), (2, at + gap - 1), (3, at), (3, at + gap - 1), (3, at + 2 * gap - 1), (9, at + 100 * gap)]
+    want = {(1, at, at + gap, 1), (1, at + gap, at + 2 * gap, 1), (2, at, at + 2 * gap - 1, 2), (3, at, at + 2 * gap - 1, 2), (3, at + 2 * gap - 1, at + 3 * gap - 1, 1), (9, at + 100 * gap, at + 101 * gap, 1)}
+    events = spark.createDataFrame(rows, "user_id long, us long").select("user_id", F.timestamp_micros("us").alias("ts"))
+    events.write.parquet(f"{tmp_path}/in")
+    micros = lambda df: {tuple(r) for r in df.select("user_id", F.unix_micros("start"), F.unix_micros("end"), "n").collect()}
+    assert micros(answers.sessions(events, "30 minutes", "10 minutes")) == want
+    stream = spark.readStream.schema(events.schema).parquet(f"{tmp_path}/in")
+    q = answers.sessions(stream, "30 minutes", "10 minutes").writeStream.outputMode("append").format("memory").queryName("gap_out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert micros(spark.table("gap_out")) == {r for r in want if r[0] != 9}
+
+
 def test_stream_of_answers(spark, tmp_path):
     schema = "question string, t double, answer_time double, clip_end double"
     for k, ticks in enumerate([[("a", 0.0, 12.0, 60.0), ("a", 5.0, 12.0, 60.0), ("b", 0.0, 90.0, 60.0)], [("a", 10.0, 12.0, 60.0), ("a", 15.0, 12.0, 60.0), ("a", 20.0, 12.0, 60.0), ("b", 65.0, 90.0, 60.0)]]):
