@@ -463,7 +463,9 @@ def frame_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = F.concat(black(F.lit(2)), white(side), black(18 - side))
     raw = F.unhex(F.concat(black(F.lit(40)), F.repeat(row, side), black((18 - side) * 20)))
     found = pixels.frame_row(F.col("raw"), F.lit(20), F.lit(20), lambda grey: bool((grey > 200).sum() > 150))
-    rows = table(spark, sf_dir, "customer").select("c_custkey", raw.alias("raw"))
+    # Keys are dealt out before frames are made of them: a small file of many keys would be one task, also after AQE
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    rows = table(spark, sf_dir, "customer").select("c_custkey").repartition(tasks, "c_custkey").select("c_custkey", raw.alias("raw"))
     return rows.select("c_custkey", found.alias("f")).select("c_custkey", "f.grayscale", "f.black_border", "f.color", "f.bright", "f.face")
 
 

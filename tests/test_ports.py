@@ -172,3 +172,68 @@ def test_frame_rows(spark):
     rows = [r[0] for r in df.select(pixels.frame_row(F.col("p"), F.col("h"), F.col("w"), lambda grey: bool(grey.mean() > 10))).collect()]
     assert rows[0]["grayscale"] == 1.0 and rows[0]["bright"] == pytest.approx(81 / 400) and rows[0]["face"] is True and 0 < rows[0]["edges"] < 0.3
     assert rows[1]["bright"] is None and rows[2]["face"] is None
+
+
+def drawn(height, width, seed):
+    """Noise, blocks, stripes and a bright frame with a hole and a spot in it."""
+    rng = np.random.default_rng(seed)
+    noise = rng.integers(0, 256, (height, width, 3))
+    blocks = np.kron(rng.integers(0, 2, (height // 5 + 1, width // 7 + 1, 1)) * 255, np.ones((5, 7, 3)))[:height, :width]
+    stripes, ring = np.full((height, width, 3), 20), np.zeros((height, width, 3))
+    stripes[height // 2 : height // 2 + 5, 4:-4:3] = 250
+    ring[height // 8 : -height // 8, width // 8 : -width // 8] = 255
+    ring[height // 4 : -height // 4, width // 4 : -width // 4] = 0
+    ring[height // 2, width // 2] = 255
+    return [x.astype(np.uint8) for x in (noise, blocks, stripes, ring)]
+
+
+def test_stacks_are_their_frames(spark):
+    """Frames of one size are computed together, as each is alone, whatever lies beside it."""
+    for height, width in ((100, 160), (20, 20), (9, 31)):
+        frames = [f for seed in range(5) for f in drawn(height, width, seed)]
+        stack = list(zip(*(x.tolist() for x in pixels.all_features(np.stack(frames), lambda grey: bool(grey.mean() > 100))), strict=True))
+        alone = [tuple(x.tolist()[0] for x in pixels.all_features(f[None], lambda grey: bool(grey.mean() > 100))) for f in frames]
+        assert stack == alone and len(set(stack)) > 8
+        greys = pixels.light(np.stack(frames))
+        assert [(s, b) for _, _, _, s, _, b, _ in stack] == [(pixels.text_score(g), pixels.bright_blocks(g)) for g in greys]
+    rows = [(k, bytearray(f.tobytes()), *f.shape[:2]) for k, f in enumerate([*drawn(20, 20, 1), *drawn(9, 31, 1), *drawn(20, 20, 2)])]
+    rows += [(50, rows[0][1], -20, -20), (51, rows[0][1], 20, None), (52, bytearray(), 0, 0), (53, None, 20, 20)]
+    df = spark.createDataFrame(rows, "k int, p binary, h int, w int").coalesce(1)
+    got = {r["k"]: tuple(r["f"]) for r in df.select("k", pixels.frame_row(F.col("p"), F.col("h"), F.col("w")).alias("f")).collect()}
+    for k, p, h, w in rows:
+        want = [x.tolist()[0] for x in pixels.all_features(np.frombuffer(p, np.uint8).reshape(1, h, w, 3))] if k < 50 else [None] * 7
+        assert got[k] == tuple(round(x, 4) if isinstance(x, float) else x for x in want)
+
+
+@pytest.mark.parametrize("diagonal", [True, False])
+def test_parts_are_those_of_a_flood(diagonal):
+    rng = np.random.default_rng(3)
+    masks = [rng.random((6, 17, 23)) < share for share in (0, 0.2, 0.45, 0.6, 1)]
+    maze = np.zeros((1, 41, 41), bool)
+    for k in range(0, 20, 2):  # a spiral
+        maze[0, k, max(k - 1, 0) : 41 - k] = maze[0, k : 41 - k, 40 - k] = maze[0, 40 - k, k : 41 - k] = maze[0, k + 2 : 41 - k, k] = True
+    for stack in (*masks, maze, maze.transpose(0, 2, 1), masks[2][:, :1], masks[2][:, :, :1]):
+        want, n = np.zeros(stack.shape, int), 0
+        for seed in map(tuple, np.argwhere(stack)):
+            if want[seed]:
+                continue
+            n += 1
+            want[seed], todo = n, [seed]
+            while todo:
+                p, r, c = todo.pop()
+                for i, j in ((i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if diagonal or not i or not j):
+                    at = p, r + i, c + j
+                    if 0 <= at[1] < stack.shape[1] and 0 <= at[2] < stack.shape[2] and stack[at] and not want[at]:
+                        want[at] = n
+                        todo.append(at)
+        number, count = pixels.components(stack, diagonal)
+        assert count == n and np.array_equal(number, want)
+
+
+def test_frames_are_dealt_out(spark, tmp_path):
+    """One file of one row group, whose frames would all be one task's."""
+    from millrace.plans import coverage
+
+    spark.range(40).withColumnRenamed("id", "c_custkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    tasks = coverage.frame_rows(spark, str(tmp_path)).select(F.spark_partition_id().alias("task")).distinct().count()
+    assert tasks >= spark.sparkContext.defaultParallelism
