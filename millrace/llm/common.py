@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import functools
 import tempfile
 import uuid
 
@@ -85,6 +86,46 @@ def arrow_batch(ddl: str, columns):
     return pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
+#: Bytes of a batch that an operator on texts takes at once.
+PART_BYTES = 4 << 20
+
+
+def parts(batch):
+    """Slices of a record batch of about ``PART_BYTES`` each, without copies; all its rows, in order."""
+    step = max(1, batch.num_rows * PART_BYTES // max(1, batch.nbytes))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
+def release() -> None:
+    """Give freed memory back to the system: Arrow's pool and, where the C library can, the heap."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run=None, *, whole: bool = False):
+    """``run`` on a stream of batches, for Python workers: it gets ``parts`` (or ``whole`` batches), and at its end what it freed is released.
+
+    Spark keeps idle workers for a minute; what they hold lies beside the next stages in the executor's memory.
+    """
+    if run is None:
+        return functools.partial(lean, whole=whole)
+
+    @functools.wraps(run)
+    def lean_run(batches):
+        try:
+            yield from run(batches if whole else (part for batch in batches for part in parts(batch)))
+        finally:
+            release()
+
+    return lean_run
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import near_dup
-from .common import arrow_batch, components, materialize, require
+from .common import arrow_batch, components, lean, materialize, require
 
 WIDTH = 5
 WORDS, BYTES = 8, 64
@@ -66,6 +66,7 @@ def _node(s: np.ndarray) -> int:
 PRINTED = "doc_id long, row_key long, fp long, size long, " + ", ".join(f"{p} long" for p in PRINT)
 
 
+@lean
 def _printed(batches):
     for batch in batches:
         sets = [shingles(t) for t in batch.column("text").to_pylist()]
@@ -158,6 +159,7 @@ def _forest(parent: np.ndarray, node: np.ndarray):
     return arrow_batch(EDGES, [node[child], node[root[child]]])
 
 
+@lean(whole=True)
 def _candidates(batches):
     for table, begin in _runs(batches, ("key", "i", "j")):
         node, size = (table.column(c).to_numpy() for c in ("fp", "size"))
@@ -169,6 +171,7 @@ def _candidates(batches):
         yield _forest(parent, node)
 
 
+@lean
 def _set_rows(batches):
     """Sets for the verification as sorted 32-bit values: two shingles of a pair fall together once in 2^32."""
     for batch in batches:
@@ -214,6 +217,7 @@ def similar(both: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 5 * both >= 4 * (a + b - both)
 
 
+@lean(whole=True)
 def _verified(batches):
     """A spanning forest of the links inside each block pair of a group."""
     for table, begin in _runs(batches, ("group", "i", "j")):

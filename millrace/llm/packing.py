@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import encoding
-from .common import arrow_batch, materialize, read_table, require
+from .common import arrow_batch, lean, materialize, read_table, require
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, deal long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -27,6 +27,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def _pieces(path: str, capacity: int, end_id: int):
+    @lean
     def run(batches):
         import zlib
 

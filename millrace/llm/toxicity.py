@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, held_out, materialize, read_table, require
+from .common import arrow_batch, held_out, lean, materialize, read_table, require
 
 DIMS_LOG2 = 20
 #: Documented bounds: at most so many labelled rows are learned from, those first in a hash order, and no further one
@@ -105,6 +105,7 @@ class Ftrl:
 FEATURED = "id long, ord long, toxic int, indices binary"
 
 
+@lean
 def _featurize(batches):
     for batch in batches:
         texts = batch.column("text").to_pylist()
@@ -200,6 +201,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_col: str = "
     """
     require(docs, id_col, text_col)
 
+    @lean
     def run(batches):
         scorer = Scorer(*model)
         for batch in batches:
@@ -214,6 +216,7 @@ def keep_clean(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], threshold:
     require(docs, text_col)
     at = docs.columns.index(text_col)
 
+    @lean
     def run(batches):
         import pyarrow as pa
 
